@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice, simhash
+from . import lattice, multiset, simhash
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
@@ -21,6 +25,7 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_links": op1_lattice_links,
+    "op2_multiset_fingerprints": op2_multiset_fingerprints,
     "op3_simhash_anchors": op3_simhash_anchors,
 }
 

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice, multiset, simhash
+from . import lattice, mixing, multiset, packing, simhash
 from .common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -23,10 +30,20 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_links": op1_lattice_links,
     "op2_multiset_fingerprints": op2_multiset_fingerprints,
     "op3_simhash_anchors": op3_simhash_anchors,
+    "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_entropy_mixing": op5_entropy_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice, mixing, multiset, packing, simhash
+from . import chat, lattice, mixing, multiset, packing, simhash
 from .common import table
 
 
@@ -38,12 +38,45 @@ def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+#: A conversation that says control strings.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.report(rows.unionByName(spark.createDataFrame(PROBE, rows.schema)))
+
+
+def _extra(column: str) -> str:
+    """SQL for the number of characters that escaping adds."""
+    marks = " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) / {len(c)}" for c in ("\\", *chat.CONTROL))
+    return f"({marks})"
+
+
+OP6_SQL = f"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+)
+SELECT conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum({len(chat.OPEN) + len(chat.CLOSE) + 1} + length(role) + {_extra("role")} + length(role) - length(replace(role, chr(10), ''))
+        + length(text) + {_extra("text")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_links": op1_lattice_links,
     "op2_multiset_fingerprints": op2_multiset_fingerprints,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_entropy_mixing": op5_entropy_mixing,
+    "op6_chat_events": op6_chat_events,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_events": OP6_SQL,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lattice, mixing, multiset, packing, simhash
+from . import chat, lattice, mixing, multiset, packing, simhash, urls
 from .common import table
 
 
@@ -68,6 +68,64 @@ SELECT conv_id,
 FROM c GROUP BY conv_id
 """
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _url_sql() -> str:
+    """The judgement in SQL: rules by a chain, then the three levels of shrinkage."""
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
+
+    def fits(rule: str, start: bool = True) -> str:
+        h, _, p = rule.partition("/")
+        return f"((host = '{h}' OR host LIKE '%.{h}')" + (f" AND starts_with(path, '/{p}'))" if start else ")")
+
+    chain = lambda n: "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[n]}'" for r in rules) + " END"
+    second = ", ".join(f"'{s}'" for s in urls.SECOND)
+
+    def strength(level: str, mean: str) -> str:
+        v = f"{mean} * (1 - {mean})"
+        rho = f"(sum((k - n * {mean}) * (k - n * {mean})) - sum(n * {v})) / nullif(sum(n * (n - 1) * {v}), 0)"
+        return f"(SELECT 1 / least({urls.MOST}, greatest({urls.LEAST}, coalesce({rho}, 0))) - 1 AS w FROM {level})"
+
+    return f"""
+WITH p AS (
+    SELECT page_id, coalesce(translate(regexp_extract(url, '{urls.URL}', 1), '{urls.UPPER}', '{urls.LOWER}'), '') AS host,
+        coalesce(regexp_extract(url, '{urls.URL}', 2), '') AS path FROM pages
+), r AS (
+    SELECT *, {chain(1)} AS rule, {chain(0)} AS says, {" OR ".join(fits(r[1], False) for r in rules)} AS reviewed FROM p
+), h0 AS (
+    SELECT host, sum(reviewed::INT)::DOUBLE AS n, sum((reviewed AND coalesce(says = 'block', false))::INT)::DOUBLE AS k,
+        string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM r GROUP BY host
+), h1 AS (
+    SELECT *, CASE WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ({second}) THEN 2 ELSE 1 END AS s FROM h0
+), h2 AS (
+    SELECT host, n, k, array_to_string(l[greatest(1, len(l) - s):], '.') AS domain, array_to_string(l[greatest(1, len(l) - s + 1):], '.') AS suffix FROM h1
+), base AS (
+    SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS m FROM h2
+), s1 AS (
+    SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT m FROM base) AS mean FROM h2 GROUP BY suffix
+), s2 AS (
+    SELECT suffix, (w * mean + k) / (w + n) AS mean FROM s1, {strength("s1", "mean")}
+), d1 AS (
+    SELECT domain, h2.suffix, sum(n) AS n, sum(k) AS k, any_value(mean) AS mean FROM h2 JOIN s2 USING (suffix) GROUP BY domain, h2.suffix
+), d2 AS (
+    SELECT domain, suffix, (w * mean + k) / (w + n) AS mean FROM d1, {strength("d1", "mean")}
+), h3 AS (
+    SELECT host, n, k, mean FROM h2 JOIN d2 USING (domain, suffix)
+), h4 AS (
+    SELECT host, w * mean + k AS a, w * (1 - mean) + n - k AS b FROM h3, {strength("h3", "mean")}
+), h5 AS (
+    SELECT host, a / (a + b) - {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM h4
+)
+SELECT page_id, r.host, path, rule, coalesce(says, CASE WHEN bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN h5 USING (host)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_links": op1_lattice_links,
     "op2_multiset_fingerprints": op2_multiset_fingerprints,
@@ -75,8 +133,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_entropy_mixing": op5_entropy_mixing,
     "op6_chat_events": op6_chat_events,
+    "op10_url_reputation": op10_url_reputation,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_events": OP6_SQL,
+    "op10_url_reputation": _url_sql(),
 }

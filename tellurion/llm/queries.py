@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lattice, mixing, multiset, packing, simhash, urls
+from . import chat, lattice, mixing, multiset, packing, simhash, toxicity, urls
 from .common import table
 
 
@@ -68,6 +68,10 @@ SELECT conv_id,
 FROM c GROUP BY conv_id
 """
 
+def op9_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -133,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_entropy_mixing": op5_entropy_mixing,
     "op6_chat_events": op6_chat_events,
+    "op9_toxic_passages": op9_toxic_passages,
     "op10_url_reputation": op10_url_reputation,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lattice, mixing, multiset, packing, simhash, toxicity, urls
+from . import chat, language, lattice, mixing, multiset, packing, simhash, toxicity, urls
 from .common import table
 
 
@@ -68,6 +68,10 @@ SELECT conv_id,
 FROM c GROUP BY conv_id
 """
 
+def op8_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
@@ -137,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_entropy_mixing": op5_entropy_mixing,
     "op6_chat_events": op6_chat_events,
+    "op8_byte_network": op8_byte_network,
     "op9_toxic_passages": op9_toxic_passages,
     "op10_url_reputation": op10_url_reputation,
 }

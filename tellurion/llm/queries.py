@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, lattice, mixing, multiset, packing, simhash, toxicity, urls
+from . import chat, language, lattice, mixing, multiset, packing, pages, simhash, toxicity, urls
 from .common import table
 
 
@@ -68,6 +68,26 @@ SELECT conv_id,
 FROM c GROUP BY conv_id
 """
 
+def op7_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+#: For pages whose article is marked as one and holds headings and paragraphs alone, as the tables' do.
+OP7_SQL = r"""
+WITH b AS (
+    SELECT page_id, url, list_transform(
+        regexp_split_to_array(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''), '</?(?:p|h1)>'),
+        lambda x: trim(regexp_replace(
+            replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+                '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks
+    FROM pages
+)
+SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text,
+    length(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10))) AS n_chars
+FROM b
+"""
+
+
 def op8_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -141,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_entropy_mixing": op5_entropy_mixing,
     "op6_chat_events": op6_chat_events,
+    "op7_consensus_paths": op7_consensus_paths,
     "op8_byte_network": op8_byte_network,
     "op9_toxic_passages": op9_toxic_passages,
     "op10_url_reputation": op10_url_reputation,
@@ -148,5 +169,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_events": OP6_SQL,
+    "op7_consensus_paths": OP7_SQL,
     "op10_url_reputation": _url_sql(),
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.rules import LITERAL_RUN, PROXIMITY, SPARED
-from .hits import over_bounds, per_rule
+from ..plans.rules import LITERAL_RUN, PROXIMITY, SPARED, Rule
+from .hits import over_bounds
+from .scan import count_hits
 
 
 def provider(rule_id: str | Column = "rule_id") -> Column:
@@ -57,9 +58,9 @@ def counts(rules: DataFrame, quarantine: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("total"), n(listed).alias("explicit"), n(shape).alias("structural"), n(~listed & ~shape).alias("active"))
 
 
-def noisy(hits: DataFrame) -> DataFrame:
+def noisy(corpus: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
     """(rule_id, n, bytes) of the rules that a corpus without secrets shows to be noise: a quarantine made by measurement."""
-    return over_bounds(per_rule(hits))
+    return over_bounds(count_hits(corpus, column, rules))
 
 
 def duplicate_ids(rules: DataFrame) -> DataFrame:

@@ -46,10 +46,10 @@ def over_bounds(stats: DataFrame, hits: int = MAX_HITS, size: int = MAX_BYTES) -
     return stats.where((F.col("n") > hits) | (F.col("bytes") > size))
 
 
-def audit(hits: DataFrame, corpus_bytes: int) -> DataFrame:
-    """One row: total hits, overwritten bytes, the cap on them, and whether it holds."""
+def audit(stats: DataFrame, corpus_bytes: int) -> DataFrame:
+    """One row, from counts per rule: total hits, overwritten bytes, the cap on them, and whether it holds."""
     cap = F.lit(corpus_bytes // MAX_SHARE).cast("long")
-    total = hits.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("overwritten"))
+    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("overwritten"))
     return total.select("n", "overwritten", cap.alias("cap"), (F.col("overwritten") <= cap).alias("within"))
 
 

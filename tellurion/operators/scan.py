@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.dialect import to_java
+from ..plans.dialect import to_java, to_python
 from ..plans.matcher import compiled
+from ..plans.prefilter import DIGIT, literals
 from ..plans.rules import Rule, dump, validate
 
 HIT = T.StructType(
@@ -74,6 +76,37 @@ def scan(rows: DataFrame, column: str, rules: list[Rule], keep: list[str], prefi
     return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), *HIT.names)
 
 
+def count_hits(rows: DataFrame, column: str, rules: list[Rule], by: list[str] | None = None) -> DataFrame:
+    """(by, rule_id, n, bytes): hits of a text or binary column per rule, counted where they are found, so that no hit leaves its task."""
+    validate(rules)
+    dumped, by = dump(rules), by or []
+    names = [f"__{i}" for i in range(len(by))]
+    binary = isinstance(rows.schema[column].dataType, T.BinaryType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = compiled(dumped)
+        for b in batches:
+            counts: dict[tuple, list[int]] = {}
+            keys = list(zip(*(b.column(n).to_pylist() for n in names))) if names else [()] * b.num_rows
+            for key, value in zip(keys, b.column("__value")):
+                data = value.as_py()
+                if data:
+                    for k, _, size in matcher.scan_bytes(data) if binary else matcher.scan_text(data):
+                        entry = counts.setdefault((*key, k), [0, 0])
+                        entry[0] += 1
+                        entry[1] += size
+            if counts:
+                cols = {n: pa.array([key[i] for key in counts], b.column(n).type) for i, n in enumerate(names)}
+                cols |= {"rule_id": pa.array([matcher.rules[key[-1]].rule_id for key in counts], pa.string())}
+                cols |= {n: pa.array([c[i] for c in counts.values()], pa.int64()) for i, n in enumerate(("n", "bytes"))}
+                yield pa.RecordBatch.from_pydict(cols)
+
+    given = rows.select(*(F.col(c).alias(n) for c, n in zip(by, names)), F.col(column).alias("__value"))
+    schema = T.StructType([T.StructField(n, rows.schema[c].dataType) for c, n in zip(by, names)] + [T.StructField("rule_id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bytes", T.LongType())])
+    found = given.mapInArrow(run, schema).groupBy(*names, "rule_id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    return found.select(*(F.col(n).alias(c) for c, n in zip(by, names)), "rule_id", "n", "bytes")
+
+
 def scan_udf(rules: list[Rule], prefilter: bool = True):  # noqa: ANN201
     """A column function: the hits of a text column as an array, beside the row."""
     validate(rules)
@@ -120,7 +153,17 @@ def spans(column: str | Column, rule: Rule, before: str = "", after: str = "") -
             F.concat(acc["out"], F.array(F.struct(acc["at"].alias("offset"), F.length(F.substring_index(p, CLOSE, 1)).cast("long").alias("len"), text_of(F.substring_index(p, CLOSE, 1)).alias("match")))).alias("out"),
         ),
     )
-    return F.when(F.col(column).isNotNull() if isinstance(column, str) else column.isNotNull(), state["out"])
+    return F.when(_may_match(F.col(column) if isinstance(column, str) else column, rule), state["out"])
+
+
+def _may_match(text: Column, rule: Rule) -> Column:
+    """False for nulls and texts without any literal that the rule needs."""
+    needed = literals(to_python(rule.pattern))
+    if not needed:
+        return text.isNotNull()
+    folded = F.lower(text)
+    tests = [F.rlike(text, F.lit(r"[0-9]")) if x == DIGIT else F.contains(folded, F.lit(x)) for x in sorted(needed)]
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
 def scan_native(rows: DataFrame, column: str, rules: list[Rule], keep: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Literals that a text must hold for a rule to match: one Aho-Corasick pass decides which rules are tried.
+"""What a text must hold for a rule to match: one Aho-Corasick pass decides which rules are tried.
 
-The literals come from the parsed pattern, in lower case, and are looked for in the lower-cased text; a rule without
-any is always tried. So the filter can't lose a match.
+The literals come from the parsed pattern, in lower case, and are looked for in the lower-cased text; where there is
+none, a digit may have to be there. A rule that needs neither is always tried. So the filter can't lose a match.
 """
 
 from __future__ import annotations
@@ -12,21 +12,35 @@ from re import _parser  # type: ignore[attr-defined]
 
 LEAST = 3
 MOST = 64
+#: Stands for any digit among the literals.
+DIGIT = "\0digit"
 
 # Letters that match an ASCII letter when case is ignored, and that one.
 FOLDED = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "K": "k"})
 
 
+_ANY_DIGIT = re.compile(r"\d")
+
+
 def fold(text: str) -> str:
     """Lower case, so that whatever matches a literal, with or without case, holds it."""
     return text.lower() if text.isascii() else text.translate(FOLDED).lower()
 
 
+def _telling(literal: str) -> bool:
+    """True for literals that are rare enough to look for: three characters, or one that prose seldom has."""
+    return len(literal) >= LEAST or any(not c.isalnum() and c not in " .,-'\"" for c in literal)
+
+
 def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
-    """The one whose shortest literal is longer."""
+    """The one whose shortest literal is longer; a digit is the least."""
     if a is None or b is None:
         return b if a is None else a
-    return max(a, b, key=lambda s: (min(map(len, s)), -len(s)))
+    return max(a, b, key=lambda s: (DIGIT not in s, min(map(len, s)), -len(s)))
+
+
+def _digits_only(items) -> bool:  # noqa: ANN001
+    return all((op is k.CATEGORY and arg is k.CATEGORY_DIGIT) or (op is k.RANGE and 48 <= arg[0] and arg[1] <= 57) or (op is k.LITERAL and 48 <= arg <= 57) for op, arg in items)
 
 
 def _needed(items) -> set[str] | None:  # noqa: ANN001
@@ -36,7 +50,7 @@ def _needed(items) -> set[str] | None:  # noqa: ANN001
 
     def close() -> None:
         nonlocal best, run
-        if len(run) >= LEAST:
+        if run and _telling(run):
             best = _better(best, {run})
         run = ""
 
@@ -55,6 +69,8 @@ def _needed(items) -> set[str] | None:  # noqa: ANN001
             inner = _needed(arg[2])
         elif op is k.ATOMIC_GROUP:
             inner = _needed(arg)
+        elif op is k.IN and _digits_only(arg):
+            inner = {DIGIT}
         elif op is k.AT:
             continue  # takes no room
         close()
@@ -65,7 +81,7 @@ def _needed(items) -> set[str] | None:  # noqa: ANN001
 
 
 def literals(pattern: str) -> set[str] | None:
-    """Lower-case literals, one of which any text that ``pattern`` (for ``re``) matches must hold; None if it need hold none."""
+    """Lower-case literals (or DIGIT), one of which any text that ``pattern`` (for ``re``) matches must hold; None if it need hold none."""
     return _needed(_parser.parse(pattern))
 
 
@@ -76,6 +92,7 @@ class Prefilter:
         import ahocorasick
 
         self.always: list[int] = []
+        self.digit: list[int] = []
         self.automaton = ahocorasick.Automaton()
         wanted: dict[str, list[int]] = {}
         for i, p in enumerate(patterns):
@@ -83,7 +100,9 @@ class Prefilter:
             if needed is None:
                 self.always.append(i)
             else:
-                for text in needed:
+                if DIGIT in needed:
+                    self.digit.append(i)
+                for text in needed - {DIGIT}:
                     wanted.setdefault(text, []).append(i)
         for text, rules in wanted.items():
             self.automaton.add_word(text, tuple(rules))
@@ -93,6 +112,8 @@ class Prefilter:
 
     def candidates(self, text: str) -> list[int]:
         found = set(self.always)
+        if self.digit and _ANY_DIGIT.search(text):
+            found.update(self.digit)
         if self.some:
             for _, rules in self.automaton.iter(fold(text)):
                 found.update(rules)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.entropy import shannon_entropy
 from .functions.tokens import is_kept_jwt
 from .operators import curate, evaluate, hits, intervals, redact
-from .operators.scan import scan, scan_native, scan_udf
+from .operators.scan import count_hits, scan, scan_native, scan_udf
 from .operators.views import CUSTOM, EVERY, LOUD, SHAPED, planted, planted_sql, table
 from .plans import rules as rule_sets
 from .plans.dialect import to_re2
@@ -137,8 +137,7 @@ def scan_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT source, rule_id, count(*) AS n, sum(len)::BIGINT AS bytes FROM {hits_sql('documents', 'source', 'text', [EMAIL, IPV4, PHONE, CARD])} GROUP BY ALL")
 def pii_email_ipv4_phone_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(_documents(spark, sf_dir), "text", [EMAIL, IPV4, PHONE, CARD], ["source"])
-    return hits.per_rule(found, "source")
+    return count_hits(_documents(spark, sf_dir), "text", [EMAIL, IPV4, PHONE, CARD], ["source"])
 
 
 @query(f"""SELECT d.doc_id, coalesce(h.n, 0)::INT AS n, coalesce(h.s, 0)::BIGINT AS bytes FROM documents d LEFT JOIN
@@ -154,7 +153,7 @@ def hits_beside_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rule_id, count(*) AS n, sum(len)::BIGINT AS bytes FROM {DOC_HITS} GROUP BY rule_id")
 def hits_per_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits.per_rule(_doc_hits(spark, sf_dir))
+    return count_hits(_documents(spark, sf_dir), "text", CUSTOM)
 
 
 @query(f"SELECT d.source, d.lang, rule_id, count(*) AS n FROM {DOC_HITS} h JOIN documents d USING (doc_id) GROUP BY ALL")
@@ -215,7 +214,7 @@ def hits_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     coalesce(sum(len), 0) <= (SELECT sum(strlen(text)) // 1000 FROM documents) AS within FROM {DOC_HITS}""")
 def scrub_byte_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = _documents(spark, sf_dir).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return hits.audit(_doc_hits(spark, sf_dir), size)
+    return hits.audit(count_hits(_documents(spark, sf_dir), "text", CUSTOM), size)
 
 
 NOISY = [r for r in SHAPED if r.rule_id in LOUD]
@@ -227,7 +226,7 @@ NOISY_COUNTS = " UNION ALL ".join(
 @query(f"SELECT rule_id, n::BIGINT AS n, bytes::BIGINT AS bytes FROM ({NOISY_COUNTS}) WHERE n > 10 OR bytes > 1024")
 def noise_rules_before_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that a corpus shows to be noise: the quarantine, measured."""
-    return curate.noisy(scan(_documents(spark, sf_dir), "text", NOISY, ["doc_id"]))
+    return curate.noisy(_documents(spark, sf_dir), "text", NOISY)
 
 
 @query(f"""SELECT doc_id, a AS start, max(e) AS "end", count(*) AS n FROM (
@@ -407,11 +406,10 @@ def formats_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.build import wrapped
 
     made = wrapped(_planted(spark, sf_dir), "doc_id", "text")
-    done = artifacts.scrub(made, [GITHUB])
-    again = artifacts.scrub(done.where("error is null").select("path", "content"), [GITHUB]).select(F.col("path").alias("p"), F.col("n_hits").alias("left"), F.col("error").alias("failed"))
-    both = done.join(again, F.col("path") == F.col("p"), "left")
-    bad = F.col("error").isNotNull() | F.col("failed").isNotNull()
-    return both.groupBy("format").agg(F.count("*").alias("artifacts"), F.sum("n_hits").alias("hits"), F.sum("left").alias("left_over"), F.count(F.when(bad, 1)).alias("errors"))
+    done = artifacts.scrub(made, [GITHUB], verify=True)
+    return done.groupBy("format").agg(
+        F.count("*").alias("artifacts"), F.sum("n_hits").alias("hits"), F.sum("left_over").alias("left_over"), F.count("error").alias("errors")
+    )
 
 
 # ---- evaluation ----------------------------------------------------------------------------------------------------

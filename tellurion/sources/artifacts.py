@@ -102,8 +102,10 @@ def hits(artifacts: DataFrame, rules: list[Rule], name: str | None = None, disti
     return _each(artifacts, run, f"path string, format string, rule_id string, offset long, len long, verified boolean, origin {ORIGIN}, match string, error string", name)
 
 
-def scrub(artifacts: DataFrame, rules: list[Rule], name: str | None = None, kind: str = ZERO, pattern: bytes = b"") -> DataFrame:
-    """(path, format, n_hits, content, error): every artifact with all its hits overwritten, others unchanged.
+def scrub(artifacts: DataFrame, rules: list[Rule], name: str | None = None, kind: str = ZERO, pattern: bytes = b"", verify: bool = False) -> DataFrame:
+    """(path, format, n_hits, left_over, content, error): every artifact with all its hits overwritten, others unchanged.
+
+    With ``verify`` the result is parsed and scanned again, and left_over counts what is still found; else it is null.
 
     All hits of an artifact are found before the first is overwritten. An artifact whose hits can't be redacted without
     touching its structure gives an error and no content.
@@ -118,9 +120,11 @@ def scrub(artifacts: DataFrame, rules: list[Rule], name: str | None = None, kind
         found = [(c.offset + at, size) for c in artifact.chunks() for _, at, size in matcher.scan_bytes(c.data)]
         if found:
             artifact.apply(found, kind, pattern)
-        return [{"path": path, "format": artifact.name, "n_hits": len(found), "content": artifact.to_bytes()}]
+        content = artifact.to_bytes()
+        left = sum(len(matcher.scan_bytes(c.data)) for c in open_artifact(content, path or "", name).chunks()) if verify else None
+        return [{"path": path, "format": artifact.name, "n_hits": len(found), "left_over": left, "content": content}]
 
-    return _each(artifacts, run, "path string, format string, n_hits long, content binary, error string", name)
+    return _each(artifacts, run, "path string, format string, n_hits long, left_over long, content binary, error string", name)
 
 
 def write_scrubbed(scrubbed: DataFrame, folder: str) -> None:

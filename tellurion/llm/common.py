@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.parallel import spread
+
 #: Words, as all contracts of this subpackage take them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out to all cores where it comes in fewer parts than there are."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns in one struct, row: beside it, no name clashes with those that an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,3 +63,14 @@ def uniform(*cols: str | Column) -> Column:
 def learned_on(column: str, modulus: int, out: int) -> Column:
     """True for the rows that a contract lets a model learn from: crc32 of the id as text, modulo ``modulus``, isn't ``out``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus != out
+
+
+_REMEMBERED: dict[tuple, object] = {}
+
+
+def remembered(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task, of one kind at a time: another key lets go of what was kept."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]

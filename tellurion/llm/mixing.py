@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, uniform, word_count
+from .common import as_rows, cut, uniform, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -143,9 +143,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; all columns are kept. The texts aren't shuffled."""
     _, state = balance(docs)
-    state = state.select(*(F.col(c).alias(c) if c != "source" else F.col(c).alias("__source") for c in state.columns))
-    names = [F.col(f"d.{c}") for c in docs.columns]
-    both = docs.alias("d").withColumns({"__size": word_count(F.col("d.text")), "__draw": draw("d.doc_id", "d.text")}).select(F.struct(*names).alias("row"), F.col("d.source").alias("__s"), "__size", "__draw")
-    both = both.join(state, F.col("__s").eqNullSafe(F.col("__source")))
-    n = copies(F.col("__size"), F.col("__draw"))
-    return both.select("row", n.cast("int").alias("n")).where("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("row.*")
+    both = as_rows(docs).select("row", F.col("row.source").alias("s"), word_count(F.col("row.text")).alias("size"), draw("row.doc_id", "row.text").alias("draw"))
+    both = both.join(state, F.col("s").eqNullSafe(F.col("source")))
+    n = copies(F.col("size"), F.col("draw")).cast("int")
+    return both.select("row", n.alias("n")).where("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("row.*")

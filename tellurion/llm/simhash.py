@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_key
+from .common import as_rows, cut, partitions, text_key
 from .components import components
 
 THRESHOLD = 2
@@ -211,12 +211,12 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     groups = cut(near_duplicates(docs, words).groupBy("component", "doc_id", "a", "b").agg(F.count("*").alias("rows")))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "a", "b")
     best = groups.groupBy("component").agg(F.min(F.struct(order.alias("o"), "rows")).alias("best"))
-    best = best.select(F.col("best.o.doc_id").alias("__doc"), F.col("best.o.a").alias("__a"), F.col("best.o.b").alias("__b"), F.col("best.rows").alias("__rows"))
-    key = text_key("text")
-    cond = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("__ka").eqNullSafe(F.col("__a")) & F.col("__kb").eqNullSafe(F.col("__b"))
-    rows = docs.withColumns({"__ka": key["a"], "__kb": key["b"]}).join(best, cond)
-    out = rows.where("__rows = 1").select(*(docs[c] for c in docs.columns))
-    if best.where("__rows > 1").isEmpty():
+    best = cut(best.select(F.col("best.o.doc_id").alias("doc"), F.col("best.o.a").alias("best_a"), F.col("best.o.b").alias("best_b"), F.col("best.rows").alias("rows")))
+    key = text_key(F.col("row.text"))
+    rows = as_rows(docs).select("row", F.col("row.doc_id").cast("long").alias("id"), key["a"].alias("a"), key["b"].alias("b"))
+    kept = rows.join(best, F.col("id").eqNullSafe(F.col("doc")) & F.col("a").eqNullSafe(F.col("best_a")) & F.col("b").eqNullSafe(F.col("best_b")))
+    out = kept.where("rows = 1").select("row.*")
+    if best.where("rows > 1").isEmpty():
         return out
-    again = rows.where("__rows > 1").dropDuplicates(["__doc", "__a", "__b"]).select(*(docs[c] for c in docs.columns))
+    again = kept.where("rows > 1").dropDuplicates(["id", "a", "b"]).select("row.*")
     return out.union(again)

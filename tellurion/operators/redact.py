@@ -69,6 +69,7 @@ def redact_joined(rows: DataFrame, key: str, column: str, hits: DataFrame, kind:
 def scrub_text(rows: DataFrame, column: str, rules: list, kind: str = ZERO, pattern: bytes = b"") -> DataFrame:
     """``rows`` with every hit of the rules in a text column overwritten, in one pass and without a shuffle."""
     from ..plans.matcher import compiled
+    from ..plans.parallel import spread
     from ..plans.rules import dump, validate
 
     validate(rules)
@@ -84,7 +85,7 @@ def scrub_text(rows: DataFrame, column: str, rules: list, kind: str = ZERO, patt
 
         return pa.array([one(t.as_py()) for t in texts], pa.string())
 
-    return rows.withColumn(column, clean(F.col(column)))
+    return spread(rows).withColumn(column, clean(F.col(column)))
 
 
 def invariants(before: Column, after: Column) -> Column:

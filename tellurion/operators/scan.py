@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..plans.dialect import to_java, to_python
 from ..plans.matcher import compiled
+from ..plans.parallel import spread
 from ..plans.prefilter import DIGIT, literals
 from ..plans.rules import Rule, dump, validate
 
@@ -72,7 +73,7 @@ def scan(rows: DataFrame, column: str, rules: list[Rule], keep: list[str], prefi
 
     given = rows.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(column).alias("__value"))
     schema = T.StructType([T.StructField(n, rows.schema[c].dataType) for c, n in zip(keep, names)] + HIT.fields)
-    found = given.mapInArrow(run, schema)
+    found = spread(given).mapInArrow(run, schema)
     return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), *HIT.names)
 
 
@@ -103,7 +104,7 @@ def count_hits(rows: DataFrame, column: str, rules: list[Rule], by: list[str] |
 
     given = rows.select(*(F.col(c).alias(n) for c, n in zip(by, names)), F.col(column).alias("__value"))
     schema = T.StructType([T.StructField(n, rows.schema[c].dataType) for c, n in zip(by, names)] + [T.StructField("rule_id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bytes", T.LongType())])
-    found = given.mapInArrow(run, schema).groupBy(*names, "rule_id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    found = spread(given).mapInArrow(run, schema).groupBy(*names, "rule_id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     return found.select(*(F.col(n).alias(c) for c, n in zip(by, names)), "rule_id", "n", "bytes")
 
 
@@ -178,6 +179,6 @@ def scan_native(rows: DataFrame, column: str, rules: list[Rule], keep: list[str]
         raise ValueError(f"scan_native takes up to {NATIVE_RULES} rules without capture groups")
     validate(rules)
     each = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.min_entropy).cast("double").alias("floor"), F.lit(r.filter or "").alias("filter"), spans(column, r).alias("spans")) for k, r in enumerate(rules)))
-    found = rows.select(*keep, F.explode(each).alias("r")).select(*keep, "r.ord", "r.rule_id", "r.floor", "r.filter", F.explode("r.spans").alias("s"))
+    found = spread(rows.select(*keep, column) if column not in keep else rows.select(*keep)).select(*keep, F.explode(each).alias("r")).select(*keep, "r.ord", "r.rule_id", "r.floor", "r.filter", F.explode("r.spans").alias("s"))
     fine = (F.col("floor").isNull() | (shannon_entropy("s.match") >= F.col("floor"))) & ((F.col("filter") != "jwt") | is_kept_jwt("s.match"))
     return found.where(fine).select(*keep, "ord", "rule_id", "s.offset", "s.len", "s.match")

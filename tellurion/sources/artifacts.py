@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.redact import PATTERN, ZERO, RedactionError
 from ..plans.matcher import compiled
+from ..plans.parallel import spread
 from ..plans.rules import Rule, dump, validate
 from .dispatch import open_artifact
 from .model import InvalidArtifact
@@ -42,7 +43,7 @@ def _each(artifacts: DataFrame, run, schema: str, name: str | None) -> DataFrame
                         rows.append({"path": path.as_py(), "error": str(e)})
                 yield pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], kinds[n]) for n in names})
 
-    return artifacts.select("path", "content").mapInArrow(all_of, schema)
+    return spread(artifacts.select("path", "content")).mapInArrow(all_of, schema)
 
 
 def _split(schema: str) -> list[str]:

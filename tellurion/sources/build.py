@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.parallel import spread
+
 
 def perf(text: bytes) -> bytes:
     """A perf file without records whose only feature is the command line."""
@@ -121,4 +123,4 @@ def wrapped(rows: DataFrame, number: str, text: str) -> DataFrame:
                 made = [wrap(n.as_py() or 0, (t.as_py() or "").encode()) for n, t in zip(b.column(0).slice(i, 256), b.column(1).slice(i, 256))]
                 yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in made], pa.string()), "content": pa.array([c for _, c in made], pa.binary())})
 
-    return rows.select(F.col(number).cast("long"), text).mapInArrow(run, "path string, content binary")
+    return spread(rows.select(F.col(number).cast("long"), text)).mapInArrow(run, "path string, content binary")

@@ -32,4 +32,4 @@ def is_kept_jwt(token: str | Column) -> Column:
     c = F.col(token) if isinstance(token, str) else token
     head = F.regexp_replace(F.substring_index(c, ".", 1), "=+$", "")
     raw = F.try_to_binary(F.translate(head, "-_", "+/"), F.lit("BASE64"))
-    return F.contains(c, F.lit(".")) & ~F.coalesce(F.rlike(F.decode(raw, "UTF-8"), F.lit(_HMAC)), F.lit(False))
+    return F.contains(c, F.lit(".")) & ~F.coalesce(F.rlike(F.try_validate_utf8(raw.cast("string")), F.lit(_HMAC)), F.lit(False))

@@ -43,12 +43,13 @@ def unrouted(hits: DataFrame, members: DataFrame, by: str, block: int = BLOCK) -
     return hits.join(m, inside, "left_anti")
 
 
-def guard(hits: DataFrame, members: DataFrame, by: str) -> DataFrame:
-    """``hits``, failing the query if one lies in no member."""
-    m = members.where("span > 0").select(F.col(by).alias("__by"), F.col("base").alias("__base"), F.col("span").alias("__span"))
-    inside = (F.col(by) == F.col("__by")) & (F.col("offset") >= F.col("__base")) & (F.col("offset") + F.col("len") <= F.col("__base") + F.col("__span"))
-    bad = hits.join(m, inside, "left_anti").withColumn("__bad", F.lit(True)).select(*hits.columns, "__bad")
-    return hits.withColumn("__bad", F.lit(False)).unionByName(bad).where(F.assert_true(~F.col("__bad"), "a hit lies outside of every body").isNull()).drop("__bad")
+def guard(hits: DataFrame, members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
+    """``hits``, failing the query if one lies in no member; members don't overlap."""
+    m = members.where("span > 0").select(F.col(by).alias("__by"), F.col("base").alias("__base"), F.col("span").alias("__span"), F.lit(True).alias("__in"))
+    m = m.withColumn("__block", F.explode(_blocks(F.col("__base"), F.col("__base") + F.col("__span"), block)))
+    inside = (F.col(by) == F.col("__by")) & (F.floor(F.col("offset") / block) == F.col("__block")) & (F.col("offset") >= F.col("__base")) & (F.col("offset") + F.col("len") <= F.col("__base") + F.col("__span"))
+    found = hits.join(m, inside, "left")
+    return found.where(F.assert_true(F.col("__in").isNotNull(), "a hit lies outside of every body").isNull()).select(*hits.columns)
 
 
 def uncovered(secrets: DataFrame, hits: DataFrame, by: str, block: int = BLOCK) -> DataFrame:

@@ -54,9 +54,9 @@ def redact_column(rows: DataFrame, column: str, hits: str, out: str = "redacted"
     Text columns come back as text; zero fill puts NUL characters there. Values without hits are passed on as they are.
     """
     binary = isinstance(rows.schema[column].dataType, T.BinaryType)
-    content = F.col(column) if binary else F.encode(F.col(column), "UTF-8")
+    content = F.col(column) if binary else F.col(column).cast("binary")
     done = redact_native(content, hits, kind, pattern)
-    return rows.withColumn(out, done if binary else F.decode(done, "UTF-8"))
+    return rows.withColumn(out, done if binary else done.cast("string"))
 
 
 def redact_joined(rows: DataFrame, key: str, column: str, hits: DataFrame, kind: str = ZERO, pattern: bytes = b"") -> DataFrame:

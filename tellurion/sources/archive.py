@@ -45,7 +45,7 @@ class Archive:
         if self.kind is None:
             raise InvalidArtifact("not an archive")
         try:
-            found = self._zip(data) if self.kind == "zip" else self._tar(self._unpacked(data))
+            found = list(self._zip(data) if self.kind == "zip" else self._tar(self._unpacked(data)))
         except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError, zlib.error, ValueError) as e:
             raise InvalidArtifact(f"{self.kind}: {e}") from e
         self.members: list[Member] = []
@@ -61,7 +61,10 @@ class Archive:
         if self.kind == "tar.zst":
             import zstandard
 
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+            try:
+                return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+            except zstandard.ZstdError as e:
+                raise ValueError(str(e)) from e
         return data
 
     @staticmethod

@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 #: Bytes of a block; intervals meet by the blocks that they touch.
 BLOCK = 1 << 16
+#: Numbers of a stretch over which sums run in one task.
+STRETCH = 1 << 16
 
 
-def linearise(members: DataFrame, by: str, order: str, span: str = "span", base: str = "base") -> DataFrame:
-    """``members`` with the running sum of the spans before each, within ``by`` and in the order of ``order``."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return members.withColumn(base, F.coalesce(F.sum(span).over(w), F.lit(0)))
+def linearise(members: DataFrame, by: str, order: str, span: str = "span", base: str = "base", width: int = STRETCH) -> DataFrame:
+    """``members`` with the running sum of the spans before each, within ``by`` and in the order of the number ``order``.
+
+    The sums run over stretches of ``width`` numbers, and over the stretches' totals: a large group is many tasks' work.
+    """
+    rows = members.withColumn("__stretch", F.floor(F.col(order) / width))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum(span).over(before.partitionBy(by, "__stretch").orderBy(order)), F.lit(0))
+    totals = rows.groupBy(F.col(by).alias("__by"), F.col("__stretch").alias("__at")).agg(F.sum(span).alias("__sum"))
+    totals = totals.select("__by", "__at", F.coalesce(F.sum("__sum").over(before.partitionBy("__by").orderBy("__at")), F.lit(0)).alias("__before"))
+    both = rows.withColumn("__inner", inner).join(totals, F.col(by).eqNullSafe(F.col("__by")) & F.col("__stretch").eqNullSafe(F.col("__at")))
+    return both.select(*members.columns, (F.col("__before") + F.col("__inner")).alias(base))
 
 
 def _blocks(start: Column, end: Column, block: int) -> Column:

@@ -124,6 +124,8 @@ def test_members_and_routes(spark):
     members = spark.createDataFrame([("a", 1, 10), ("a", 2, 0), ("a", 3, 200_000), ("a", 4, 5), ("b", 1, 7)], "path string, ord long, span long")
     placed = intervals.linearise(members, "path", "ord")
     assert {(r.path, r.ord): r.base for r in placed.collect()} == {("a", 1): 0, ("a", 2): 10, ("a", 3): 10, ("a", 4): 200_010, ("b", 1): 0}
+    short = intervals.linearise(members, "path", "ord", width=2)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, placed.collect()))
     found = spark.createDataFrame([("a", 0, 10), ("a", 9, 2), ("a", 150_000, 60), ("a", 200_010, 5), ("a", 200_014, 2), ("b", 3, 4), ("c", 0, 1)], "path string, offset long, len long")
     routed = {(r.path, r.offset): (r.member, r.inner_offset) for r in intervals.route(found, placed, "path", "ord").collect()}
     assert routed == {("a", 0): (1, 0), ("a", 150_000): (3, 149_990), ("a", 200_010): (4, 0), ("b", 3): (1, 3)}

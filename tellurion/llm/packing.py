@@ -17,7 +17,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -26,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered
+
 CAPACITY = 4096
 END = 2
 LAST = 64
 #: Words whose ids a worker remembers; when there are more, it forgets those that came up least.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
@@ -71,32 +72,33 @@ class Words:
         self.start[: len(keep)], self.size[: len(keep)], self.hits[: len(keep)] = ends - size, size, 0
         self.ids[: len(flat)], self.used = flat, len(flat)
 
-    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        """The words' ids; most words go in one text, with a special string between them."""
-        alone, together = [], []
-        for w in words:
-            (alone if self.mark is None or b"<|" in w else together).append(w)
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes new words and adds them to what is known; most go in one text, with a special string between them."""
+        together = [w for w in words if self.mark is not None and b"<|" not in w]
+        flat, sizes = [], []
         if together:
-            got = self.tokenizer.encode_batch_fast([self.mark.join(w.decode() for w in together)], add_special_tokens=False)[0].ids
-            ends = np.flatnonzero(np.array([*got, self.mark_id]) == self.mark_id).tolist()
-            at = 0
-            for w, end in zip(together, ends, strict=True):
-                yield w, got[at:end]
-                at = end + 1
+            joined = b"".join([self.mark.encode().join(together), self.mark.encode()]).decode()
+            got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(got == self.mark_id)
+            if len(ends) != len(together):
+                raise ValueError("the tokenizer doesn't keep special strings apart")
+            flat.append(got[got != self.mark_id])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        alone = words if self.mark is None else [w for w in words if b"<|" in w]
         for w in alone:
-            yield w, self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        for w, ids in self._encoded(words):
-            at = len(self.known)
-            if at == len(self.start):
-                self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[at], self.size[at], self.hits[at] = self.used, len(ids), 0
-            self.used += len(ids)
-            self.known[w] = at
+            ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+            flat.append(np.array(ids, np.uint32))
+            sizes.append(np.array([len(ids)]))
+        ids, size = np.concatenate(flat), np.concatenate(sizes)
+        at, n = len(self.known), len(words)
+        while at + n > len(self.start):
+            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[at : at + n], self.size[at : at + n], self.hits[at : at + n] = self.used + np.cumsum(size) - size, size, 0
+        self.used += len(ids)
+        self.known.update(zip([*together, *alone], range(at, at + n)))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, and the end id."""
@@ -119,12 +121,6 @@ class Words:
         return out
 
 
-@lru_cache(maxsize=2)
-def _words(path: str) -> Words:
-    """One for all tasks of a worker."""
-    return Words(path)
-
-
 class Bins:
     """Packs pieces of documents; ``rows`` gathers (doc, start, ids, doc_tokens, sequence, offset)."""
 
@@ -188,7 +184,7 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 def _packer(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bins = _words(path), Bins()
+        words, bins = remembered(("words", path), lambda: Words(path)), Bins()
         base = TaskContext.get().partitionId() << 40
 
         def rows() -> pa.RecordBatch:

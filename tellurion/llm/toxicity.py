@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, learned_on
+from .common import cut, learned_on, remembered
 
 #: Labelled documents of each class that the model is fitted on at most: those of smallest hash.
 SAMPLE = 2500
@@ -39,7 +38,7 @@ EDGES = (3, 4, 5, 6)
 LEAST, LARGEST = 1.5, 6.0
 #: A passage is reported if it is expected less often than this in clean text.
 SIGNIFICANT = 0.05
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -190,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, out: int = 0) ->
     found = sample.mapInArrow(_document_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     y0, y1 = F.col("clean"), F.col("toxic")
     prior = F.lit(PRIOR) * (y0 + y1) / F.lit(n0 + n1)
-    odds = F.log((y1 + prior) / (F.lit(n1 + PRIOR) - y1 - prior)) - F.log((y0 + prior) / (F.lit(n0 + PRIOR) - y0 - prior))
+    half = F.lit(0.5)  # of a document that hasn't the feature, even if all have it
+    odds = F.log((y1 + prior) / F.greatest(F.lit(n1 + PRIOR) - y1 - prior, half)) - F.log((y0 + prior) / F.greatest(F.lit(n0 + PRIOR) - y0 - prior, half))
     found = found.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))).alias("z")).where(F.col("z") > OUTSTANDING)
     rows = found.orderBy(F.desc("z"), "feature").limit(LEXICON).collect()
     strong = [r for r in rows if r["odds"] > LEAST]
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(model.key())
+        known = remembered(("scores", model.key()), dict)
         for b in batches:
             score, kept = [], []
             for text in b.column("text"):
@@ -265,12 +265,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
 
 
-@lru_cache(maxsize=1)
-def _known(_: int) -> dict[str, float]:
-    """Scores of words that a worker remembers from task to task, for one lexicon."""
-    return {}
-
-
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, passages) of every row of ``docs``, by a model that learned from the others."""
     scored = score(docs, train(docs, labels))
@@ -284,7 +278,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def clean(texts):  # noqa: ANN001, ANN202
-        known = _known(model.key())
+        known = remembered(("scores", model.key()), dict)
         found = (model.passages(t, known) for t in texts)
         return texts.__class__([model.probability(model.normal(n, max((s for *_, s in f), default=0.0))) < 0.5 for n, f in found], dtype=bool)
 

@@ -25,6 +25,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BINS = 4096
+#: Bytes up to which the table of sources is sent to all tasks.
+BROADCAST = 8 << 20
 STEPS = 60
 TOLERANCE = 1e-9
 
@@ -59,7 +61,7 @@ def solve(counts: DataFrame, state: DataFrame) -> DataFrame:
     state = cut(state.select("source", "source_size", "target", F.coalesce("scale", F.lit(1.0)).alias("scale"), F.lit(0.0).alias("tilt"), F.lit(-inf).alias("low"), F.lit(inf).alias("high"), F.lit(inf).alias("off")))
     for _ in range(STEPS):
         r = rate(F.col("size"))
-        sums = counts.withColumnRenamed("source", "s").join(state, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
+        sums = counts.withColumnRenamed("source", "s").join(_held(state), F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
             F.sum(F.col("n") * F.col("size") * r).alias("g"),
             F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("scale") * r * (1 - r / MOST)).alias("h"),
         )
@@ -86,7 +88,7 @@ def _place(size: Column, draw: Column) -> Column:
 
 def round_off(rows: DataFrame, state: DataFrame) -> DataFrame:
     """``state`` with each source's shift: documents of ``rows`` (source, size, draw) placed below it get one copy more."""
-    at = rows.withColumnRenamed("source", "s").join(state, F.col("source").eqNullSafe(F.col("s")))
+    at = rows.withColumnRenamed("source", "s").join(_held(state), F.col("source").eqNullSafe(F.col("s")))
     at = at.select("source", "target", "size", F.floor(rate(F.col("size"))).alias("whole"), _place(F.col("size"), F.col("draw")).alias("place"))
     need = F.max("target") - F.sum(F.col("size") * F.col("whole"))
     needs = cut(at.groupBy(F.col("source").alias("s")).agg(need.alias("need")))
@@ -119,6 +121,12 @@ def draw(doc_id: str = "doc_id", text: str = "text") -> Column:
     return uniform(F.col(doc_id), F.xxhash64(text))
 
 
+def _held(sources: DataFrame) -> DataFrame:
+    """A table of a row per source, marked for broadcast if it is small: its size is counted, and larger ones are joined by shuffle."""
+    n, size = sources.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    return F.broadcast(sources) if 128 * n + size <= BROADCAST else sources
+
+
 def balance(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, state): (doc_id, source, size, draw) of all documents, and the sources with target, tilt and shift."""
     rows = cut(docs.select("doc_id", "source", word_count("text").alias("size"), draw().alias("draw")))
@@ -135,15 +143,15 @@ def mix_report(docs: DataFrame) -> DataFrame:
     identical rows are taken alike. Other columns are ignored; an empty table gives an empty result.
     """
     rows, state = balance(docs)
-    mixed = rows.withColumnRenamed("source", "s").join(state, F.col("source").eqNullSafe(F.col("s")))
+    mixed = rows.withColumnRenamed("source", "s").join(_held(state), F.col("source").eqNullSafe(F.col("s")))
     taken = copies(F.col("size"), F.col("draw")) * F.col("size")
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), rate(F.col("size")).alias("rate"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; all columns are kept. The texts aren't shuffled."""
+    """``docs`` with each row as often as the mix takes it; all columns are kept. The texts aren't shuffled while the sources' table is small."""
     _, state = balance(docs)
     both = as_rows(docs).select("row", F.col("row.source").alias("s"), word_count(F.col("row.text")).alias("size"), draw("row.doc_id", "row.text").alias("draw"))
-    both = both.join(state, F.col("s").eqNullSafe(F.col("source")))
+    both = both.join(_held(state), F.col("s").eqNullSafe(F.col("source")))
     n = copies(F.col("size"), F.col("draw")).cast("int")
     return both.select("row", n.alias("n")).where("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("row.*")

@@ -32,8 +32,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """The pieces of all documents in sequences. Workers remember fewer words than they would for this alone."""
+    return packing.pack(docs, tokenizer_path(), remember=150_000)
 
 
 STAGES = [

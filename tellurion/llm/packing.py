@@ -30,7 +30,7 @@ from .common import remembered
 CAPACITY = 4096
 END = 2
 LAST = 64
-#: Words whose ids a worker remembers; when there are more, it forgets those that came up least.
+#: Words whose ids a worker remembers (0.2 KB each); when there are more, it forgets those that came up least.
 REMEMBERED = 500_000
 
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
@@ -45,7 +45,8 @@ class Words:
     before it is split, which leaves fewer different words. Each is encoded once; the ids are in one flat array.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBERED):
+        self.remember = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,7 +62,7 @@ class Words:
     def forget(self) -> None:
         """Keeps the words that came up most, up to half of what fits."""
         n = len(self.known)
-        least = max(2, int(np.partition(self.hits[:n], n - REMEMBERED // 2)[n - REMEMBERED // 2]) + 1)
+        least = max(2, int(np.partition(self.hits[:n], n - self.remember // 2)[n - self.remember // 2]) + 1)
         keep = np.flatnonzero(self.hits[:n] >= least)
         size = self.size[keep]
         ends = np.cumsum(size)
@@ -104,7 +105,7 @@ class Words:
         """The ids of a text, and the end id."""
         raw = text.encode()
         words = (raw if b"<|" in raw else _STOP.sub(rb" \1", raw.lower())).split()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remember:
             self.forget()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0).tolist()
@@ -182,9 +183,9 @@ class Bins:
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packer(path: str, with_ids: bool):
+def _packer(path: str, with_ids: bool, remember: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bins = remembered(("words", path), lambda: Words(path)), Bins()
+        words, bins = remembered(("words", path, remember), lambda: Words(path, remember)), Bins()
         base = TaskContext.get().partitionId() << 40
 
         def rows() -> pa.RecordBatch:
@@ -215,13 +216,13 @@ def _packer(path: str, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False, remember: int = REMEMBERED) -> DataFrame:
     """One row per piece of each document of ``docs`` (doc_id, text), packed into sequences of at most CAPACITY tokens.
 
     ``tokenizer`` is the path of a tokenizers file that drops white space. A document's tokens are the ids of its text,
     without special tokens added, and END; a null text counts as empty. Each token lies in exactly one piece, pieces
     of a sequence follow one another from offset 0, and every sequence is either full or a power of two long. A null
-    or repeated doc_id is packed like any other. ``with_ids`` adds the piece's ids. Other columns are ignored; an
-    empty table gives an empty result.
+    or repeated doc_id is packed like any other. ``with_ids`` adds the piece's ids; ``remember`` trades a worker's
+    memory for time. Other columns are ignored; an empty table gives an empty result.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packer(tokenizer, with_ids), OUT + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packer(tokenizer, with_ids, remember), OUT + (", ids array<int>" if with_ids else ""))

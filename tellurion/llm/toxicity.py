@@ -38,7 +38,8 @@ EDGES = (3, 4, 5, 6)
 LEAST, LARGEST = 1.5, 6.0
 #: A passage is reported if it is expected less often than this in clean text.
 SIGNIFICANT = 0.05
-REMEMBERED = 400_000
+#: Words whose scores a worker remembers.
+REMEMBERED = 200_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 

@@ -80,14 +80,14 @@ def test_packing_is_an_exact_round_trip(odd, docs, empty):
     assert packing.pack(empty, tokenizer_path()).collect() == []
 
 
-def test_words_encode_as_whole_texts(monkeypatch):
+def test_words_encode_as_whole_texts():
     t = Tokenizer.from_file(tokenizer_path())
     texts = ["", "a, b. C,", "<|endoftext|> x<|startoftext|>y", "<|ENDOFTEXT|> Z", "é \u0301x", "\u2028a\x1cb \x85 c", "\x1c\x1d z", "ΑΣ ΣΑ", "don't I'LL x., y", "İstanbul ﬁ", prose(5, 500)]
     words = packing.Words(tokenizer_path())
     for _ in range(2):
         for x in texts:
             assert words.encode(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
-    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    words = packing.Words(tokenizer_path(), 20)
     for x in texts:
         assert words.encode(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, learned_on
+from .common import cut, learned_on, uniform
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -148,9 +148,15 @@ def train(docs: DataFrame, modulus: int = 4, out: int = 2) -> Network:
     Documents without lang, doc_id or a letter teach nothing; without any that do, every text is ``und``.
     """
     allowed = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learned_on("doc_id", modulus, out))
-    order = F.xxhash64("doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    ids = cut(allowed.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct())
+    place = uniform("doc_id")
+    # by chance no more than a few times the sample of each language, one of which there is for each output of the network
+    counts = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().collect()}
+    if not counts:
+        return Network([], *(np.zeros(0, np.float32) for _ in range(5)))
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * SAMPLE / n))), F.col("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    ids = allowed.where(place < share).select("doc_id", "lang").withColumn("rank", rank)
+    ids = cut(ids.where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct())
     picked = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])  # SAMPLE ids a language
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +176,8 @@ def train(docs: DataFrame, modulus: int = 4, out: int = 2) -> Network:
     names = sorted({lang for lang, _ in rows})
     if not names:
         return Network([], *(np.zeros(0, np.float32) for _ in range(5)))
-    place = {name: k for k, name in enumerate(names)}
-    return fit(names, [w for _, w in rows], np.array([place[lang] for lang, _ in rows]))
+    number = {name: k for k, name in enumerate(names)}
+    return fit(names, [w for _, w in rows], np.array([number[lang] for lang, _ in rows]))
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:

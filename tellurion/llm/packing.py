@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,14 @@ CAPACITY = 4096
 END = 2
 LAST = 64
 #: Words whose ids a worker remembers (0.2 KB each); when there are more, it forgets those that came up least.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+
+#: Letters below this one are the same in all versions of Unicode.
+LATIN = "\u0250"
+#: The letters in which byte-level models write bytes: printable ones for themselves, the others from U+0100 on, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+PROBES = ("a", "the", "unlikeliest", "straße", "éàüñçœ", "zzqqxxjjkk", "ſłøđ")
 
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
@@ -43,6 +51,10 @@ class Words:
     are those of its words in turn; it also lower-cases, and takes a full stop or comma between a letter and white
     space by itself. So a text is lower-cased (A-Z, unless it may hold special strings) and such stops stand alone
     before it is split, which leaves fewer different words. Each is encoded once; the ids are in one flat array.
+
+    A word of Latin letters alone goes through the tokenizer's normalisation and splitting unchanged, so the byte-pair
+    model takes it directly, in the letters that stand for its bytes; that this tokenizer is of that kind is tried out
+    first.
     """
 
     def __init__(self, path: str, remember: int = REMEMBERED):
@@ -54,6 +66,8 @@ class Words:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.content.split()[1:]]
         self.mark = special[0] if special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if special else None
+        self.model = self.tokenizer.model
+        self.direct = type(self.model).__name__ == "BPE" and all(self._whole(w) == self._letters(w) for w in PROBES)
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -73,10 +87,29 @@ class Words:
         self.start[: len(keep)], self.size[: len(keep)], self.hits[: len(keep)] = ends - size, size, 0
         self.ids[: len(flat)], self.used = flat, len(flat)
 
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _letters(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))]
+
     def _learn(self, words: list[bytes]) -> None:
-        """Encodes new words and adds them to what is known; most go in one text, with a special string between them."""
+        """Encodes new words and adds them to what is known; those that aren't plain go in one text, with a special string between them."""
+        order, flat, sizes = [], [], []
+        if self.direct:
+            rest = []
+            for w in words:
+                text = w.decode()
+                if text.isalpha() and (text.isascii() or (max(text) < LATIN and is_normalized("NFC", text))) and text == text.lower():
+                    ids = self._letters(text)
+                    order.append(w)
+                    flat += ids
+                    sizes.append(len(ids))
+                else:
+                    rest.append(w)
+            words = rest
+        flat, sizes = [np.array(flat, np.uint32)], [np.array(sizes, np.int64)]
         together = [w for w in words if self.mark is not None and b"<|" not in w]
-        flat, sizes = [], []
         if together:
             joined = b"".join([self.mark.encode().join(together), self.mark.encode()]).decode()
             got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
@@ -87,11 +120,12 @@ class Words:
             sizes.append(np.diff(ends, prepend=-1) - 1)
         alone = words if self.mark is None else [w for w in words if b"<|" in w]
         for w in alone:
-            ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+            ids = self._whole(w.decode())
             flat.append(np.array(ids, np.uint32))
             sizes.append(np.array([len(ids)]))
         ids, size = np.concatenate(flat), np.concatenate(sizes)
-        at, n = len(self.known), len(words)
+        order += [*together, *alone]
+        at, n = len(self.known), len(order)
         while at + n > len(self.start):
             self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
         while self.used + len(ids) > len(self.ids):
@@ -99,11 +133,11 @@ class Words:
         self.ids[self.used : self.used + len(ids)] = ids
         self.start[at : at + n], self.size[at : at + n], self.hits[at : at + n] = self.used + np.cumsum(size) - size, size, 0
         self.used += len(ids)
-        self.known.update(zip([*together, *alone], range(at, at + n)))
+        self.known.update(zip(order, range(at, at + n)))
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, and the end id."""
-        raw = text.encode()
+    def encode(self, text: str | bytes) -> np.ndarray:
+        """The ids of a text, or of its UTF-8, and the end id."""
+        raw = text.encode() if isinstance(text, str) else text
         words = (raw if b"<|" in raw else _STOP.sub(rb" \1", raw.lower())).split()
         if len(self.known) > self.remember:
             self.forget()
@@ -205,8 +239,8 @@ def _packer(path: str, with_ids: bool, remember: int):
             return pa.RecordBatch.from_pydict(cols)
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                bins.add(doc, words.encode(text.as_py() or ""))
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary())):
+                bins.add(doc, words.encode(text.as_py() or b""))
                 if len(bins.rows) >= 4096:
                     yield rows()
         bins.finish()

@@ -54,6 +54,21 @@ def test_states_add_and_subtract():
     assert both.likeness(multiset.State.of(a)) > 0.5 > multiset.State.of(a).likeness(multiset.State.of(b))
 
 
+def test_likeness_of_very_long_repetitive_texts(spark):
+    """The sums of signs leave 16 bits."""
+    prose = " ".join(f"w{k}" for k in range(1000))
+    for n in (40_000, 65_536, 100_000):
+        whole, half = multiset.State.of("word " * n), multiset.State.of("word " * (n // 2) + prose)
+        assert whole.likeness(half) > 0.99
+        assert (whole - half).alike.tolist() == (whole.alike - half.alike).tolist()
+        assert multiset.State.read(whole.hex()).likeness(multiset.State.read(half.hex())) == whole.likeness(half)
+    assert multiset.State.of("word " * 100_000).likeness(multiset.State.of("word " * 30_000)) > 0.99
+    passage = " ".join(f"p{k}" for k in range(40)) + " "
+    rows = [(1, prose), (2, "word " * 100_000), (3, prose), (4, passage * 5000), (5, prose), (6, "word " * 40_000)]
+    got = {r.doc_id: r for r in multiset.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert all(got[k].near_edited > 0.9 for k in (2, 4, 6))
+
+
 # ---- packing
 
 

@@ -36,8 +36,14 @@ JUNK = frozenset(
     "footer foot colophon copyright sidebar rail widget widgets aside related recommended recommendations trending popular "
     "cookie cookies consent gdpr notice notices notification notifications alert announcement disclaimer popup modal overlay newsletter subscribe subscription paywall "
     "form search login signup signin register comment comments commentlist disqus respond responses replies reply discussion feedback reviews "
-    "share sharing social follow masthead topbar hidden".split()
+    "share sharing social follow masthead topbar".split()
 )
+#: Of JUNK, what as often names a topic or a part of an article: never enough alone.
+TOPICS = frozenset(
+    "advertising promo promotion navigation menu banner foot related recommended recommendations trending popular consent notice notices notification notifications "
+    "alert announcement disclaimer search register comment respond responses replies reply discussion feedback reviews social follow form".split()
+)
+ADS = frozenset("ad ads advert adverts advertisement adsense adsbygoogle".split())
 CONTENT = frozenset("content article main post entry story body text maincontent articlebody page".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: A start tag of the first kind ends an open element of the second kinds.
@@ -58,18 +64,30 @@ _TAG = re.compile(
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z)", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _NUMBER = re.compile(r"\d+")
+#: Whole classes that are clear cases anywhere: comment lists, share bars, sponsors' blocks.
+_CLEAR = re.compile(
+    r"(?<!\S)(?:comments|commentlist|disqus|share|sharing|sponsored|comments?[-_]+(?:list|area|section|thread)"
+    r"|(?:social[-_]+)?shar(?:e|ing)[-_]+(?:bar|box|buttons?|icons?|links?|tools?)|social[-_]+shar(?:e|ing))(?!\S)",
+    re.I,
+)
+#: Whole classes of what is an article's text by name.
+_BODY = re.compile(r"(?<!\S)(?:entry|post|article|story)[-_]*(?:content|body|text)(?!\S)", re.I)
+#: Classes that hide, and those that show again on some screens.
+_HIDDEN = re.compile(r"(?<!\S)(?:is-|visually-)?hidden(?!\S)", re.I)
+_SHOWN = re.compile(r":(?:block|flex|grid|inline|table|contents|visible)")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("content", "heading", "inside", "junk", "last", "links", "parent", "path", "start", "tag")
+    __slots__ = ("asks", "body", "content", "heading", "holds", "inside", "junk", "last", "links", "parent", "path", "start", "tag")
 
     def __init__(self, tag: str, parent: Node | None, start: int):
         self.tag, self.parent, self.start, self.last = tag, parent, start, start
         self.junk = parent.junk if parent else False
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.inside = parent is not None and (parent.inside or parent.body)
         self.path = ""
         self.content, self.links, self.heading = 0, 0, False
+        self.asks, self.holds, self.body = False, False, tag in ("article", "main")
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -84,6 +102,7 @@ class Page:
         self.root = Node("body", None, 0)
         self.root.path = "body"
         self.containers = [self.root]
+        self.suspects: list[tuple[Node, bool]] = []
         self._parse(source or "")
         self._weigh()
 
@@ -173,24 +192,48 @@ class Page:
 
     def _describe(self, node: Node, raw: str) -> None:
         attrs = _attributes(raw)
-        words = {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
+        classes = attrs.get("class", "")
+        words = {w.lower() for w in _WORDS.findall(f"{classes} {attrs.get('id', '')}")}
         name = _NUMBER.sub("N", attrs.get("class", "").split()[0]) if attrs.get("class", "").split() else ""
         parent = node.parent
         base = parent.path if parent else ""
         node.path = f"{base}/{node.tag}.{name}" if name else f"{base}/{node.tag}"
         if node.junk:
             return
+        node.body = node.body or _BODY.search(classes) is not None
+        if node.tag in ("article", "main", "h1", "form"):
+            n = parent
+            while n is not None:
+                n.asks, n.holds = n.asks or node.tag == "form", n.holds or node.tag != "form"
+                n = n.parent
         if node.tag in DROPPED or (node.tag == "header" and not node.inside) or attrs.get("role", "").lower() in ROLES:
             node.junk = True
         elif "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _INVISIBLE.search(attrs.get("style", "")):
             node.junk = True
-        elif node.tag not in ("article", "main") and words & JUNK and not words & CONTENT:
+        elif _HIDDEN.search(classes) and not _SHOWN.search(classes):
             node.junk = True
-        elif node.tag not in INLINE and "header" in words and not node.inside and not words & CONTENT:
+        elif node.tag in INLINE or node.tag in HEADINGS:  # their names are those of anchors, of code and of topics
+            node.junk = not ADS.isdisjoint(classes.lower().split())
+        elif node.tag not in ("article", "main") and words & JUNK and not words & CONTENT:
+            own = {w.lower() for w in _WORDS.findall(classes)}
+            if own & ADS or _CLEAR.search(classes) or (not node.inside and words & JUNK - TOPICS):
+                node.junk = True
+            else:
+                self.suspects.append((node, bool(own & JUNK - TOPICS)))
+        elif "header" in words and not node.inside and not words & CONTENT:
             node.junk = True
 
     def _weigh(self) -> None:
-        """Adds each block's text to the containers that hold it; lists of little but links outside an article are menus."""
+        """Adds each block's text to the containers that hold it, but for menus and furniture.
+
+        Lists of little but links outside an article are menus. An element with a name of JUNK that isn't a clear case is
+        furniture if it is mostly links, or asks for something by a form, and holds no article or title.
+        """
+        furniture: set[int] = set()
+        for n, furnished in self.suspects:
+            own = self.blocks[n.start : n.last]
+            if not n.holds and (2 * sum(b[1] for b in own) > sum(len(b[0]) for b in own) or (furnished and n.asks)):
+                furniture.update(range(n.start, n.last))
         owner: dict[int, list[int]] = {}
         for k, (text, linked, heading, node) in enumerate(self.blocks):
             n = node
@@ -204,8 +247,8 @@ class Page:
                 n = n.parent
         menus = {key for key, (size, linked, count, _) in owner.items() if count >= 3 and linked >= 0.9 * size and size < 40 * count}
         kept = []
-        for text, linked, heading, node in self.blocks:
-            n, menu = node, False
+        for k, (text, linked, heading, node) in enumerate(self.blocks):
+            n, menu = node, k in furniture
             while n is not None and not menu:
                 menu = id(n) in menus
                 n = n.parent

@@ -15,6 +15,41 @@ def test_article_without_the_rest():
     assert pages.Page(PAGE.format(n=7)).extract(None) == TEXT
 
 
+ARTICLE = "<body><{tag}><h1>Title</h1><p>First of the article.</p>{part}<p>Last of the article.</p></{tag}></body>"
+
+
+def test_names_alone_take_no_text_from_an_article():
+    kept = [
+        ('<section id="discussion"><h2>Discussion</h2><p>We discuss.</p></section>', "Discussion\nWe discuss."), ('<h2 id="feedback">Feedback</h2>', "Feedback"),
+        ('<h2 id="reviews"><a href="#reviews">Reviews</a></h2>', "Reviews"), ('<h3 class="header">Header files</h3>', "Header files"), ('<div class="reviews"><p>All reviews.</p></div>', "All reviews."),
+        ('<p class="popular">Well liked.</p>', "Well liked."), ('<pre>x = 1 <span class="hljs-comment"># one</span></pre>', "x = 1 # one"), ('<p>See <a class="notice" href="x">the notice</a>.</p>', "See the notice."),
+        ('<div id="comments"><p>On comments in code.</p></div>', "On comments in code."), ('<p class="market-share">Half the market.</p>', "Half the market."),
+        ('<div id="cookies"><p>Bake them.</p><form><input></form></div>', "Bake them."), ('<ul id="related"><li>Prose with <a href="x">a link</a></ul>', "Prose with a link"),
+        ('<div class="overflow-hidden"><p>In a frame.</p></div>', "In a frame."), ('<div class="hidden md:block">On wide screens.</div>', "On wide screens."),
+    ]
+    for part, text in kept:
+        for tag in ("article", "main", 'div class="x entry-content"'):
+            assert pages.Page(ARTICLE.format(tag=tag, part=part)).extract(None) == f"Title\nFirst of the article.\n{text}\nLast of the article.", part
+
+
+def test_clear_cases_go_from_an_article():
+    gone = [
+        '<div class="inline-ad">Buy now</div>', '<ins class="adsbygoogle">Buy now</ins>', '<div class="sponsored">Buy now</div>', '<div class="share">Tell others</div>', '<div class="x social-share">Tell others</div>',
+        '<ol class="comment-list"><li>I agree</ol>', '<div class="comments-area">I agree</div>', '<div class="related-posts"><a href="x">More on it</a> <a href="y">And more</a></div>',
+        '<div class="newsletter"><p>Our news by mail</p><form><input></form></div>', '<span class="visually-hidden">unseen</span>', '<nav class="pager">1 2</nav>',
+    ]
+    for part in gone:
+        assert pages.Page(ARTICLE.format(tag="article", part=part)).extract(None) == "Title\nFirst of the article.\nLast of the article.", part
+
+
+def test_names_of_topics_outside_an_article():
+    body = "<p>" + "word " * 40 + "</p>"
+    for part in ('<div id="discussion"><p>We discuss.</p></div>', '<div class="reviews"><p>We discuss.</p></div>', '<h2 class="popular">We discuss.</h2>'):
+        assert pages.Page(f'<div class="c1">{body}{part}</div>').extract(None) == ("word " * 40).strip() + "\nWe discuss.", part
+    for part in ('<div class="cookie-notice">We use cookies</div>', '<div id="related"><a href="x">More</a></div>', '<div class="sidebar"><p>Side</p></div>'):
+        assert pages.Page(f'<div class="c1">{body}{part}</div>').extract(None) == ("word " * 40).strip(), part
+
+
 def test_broken_and_bare_pages():
     for source, text in ((None, ""), ("", ""), ("plain", "plain"), ("<p>a", "a"), ('<a title="x>y">z</a>', "z"), ("a<b c", "a<b c"), ("<!-- c", ""), ("<script>x", ""), ("<p>" + "w " * 50_000, ("w " * 50_000).strip())):
         assert pages.Page(source).extract(None) == text

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
 import zipfile
 import zlib
@@ -13,13 +14,40 @@ from ..operators.redact import RedactionError
 from .model import ZERO, Chunk, Hits, InvalidArtifact
 
 
+#: Compressed bytes read at a time.
+PIECE = 1 << 16
+#: Where zstd's frame begins: at once, or after the frame of 4 bytes that pzstd writes before each.
+ZSTD = re.compile(rb"(?:[\x50-\x5f]\x2a\x4d\x18\x04\0\0\0.{4})?\x28\xb5\x2f\xfd", re.S)
+
+
+def unzstd(data: bytes) -> bytes:
+    """The content of all frames, one after the other; frames to skip have none. Raises ValueError for a frame that is cut or isn't one."""
+    import zstandard
+
+    out: list[bytes] = []
+    frame = None
+    try:
+        for at in range(0, len(data), PIECE):
+            rest = data[at : at + PIECE]
+            while rest:
+                frame = frame or zstandard.ZstdDecompressor().decompressobj()
+                out.append(frame.decompress(rest))
+                rest = frame.unused_data if frame.eof else b""
+                frame = None if frame.eof else frame
+    except zstandard.ZstdError as e:
+        raise ValueError(str(e)) from e
+    if frame is not None:
+        raise ValueError("the last frame is cut")
+    return b"".join(out)
+
+
 def kind_of(data: bytes, path: str = "") -> str | None:
     """tar, tar.gz, tar.zst or zip by magic, else by the path's end; any gzip or zstd file counts as a tar."""
     if data[:2] == b"PK" and data[2:3] in (b"\x03", b"\x05", b"\x07") and len(data) >= 4:
         return "zip"
     if data[:2] == b"\x1f\x8b":
         return "tar.gz"
-    if data[:4] == b"\x28\xb5\x2f\xfd":
+    if ZSTD.match(data):
         return "tar.zst"
     if (len(data) >= 512 and data[257:262] == b"ustar") or path.endswith(".tar"):
         return "tar"
@@ -59,12 +87,7 @@ class Archive:
         if self.kind == "tar.gz":
             return gzip.decompress(data)
         if self.kind == "tar.zst":
-            import zstandard
-
-            try:
-                return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-            except zstandard.ZstdError as e:
-                raise ValueError(str(e)) from e
+            return unzstd(data)
         return data
 
     @staticmethod

@@ -85,7 +85,7 @@ def sniffed(content: str | Column = "content", path: str | Column = "path") -> C
         return found
 
     at = lambda first, raw: F.substring(head, 2 * first + 1, 2 * len(raw)) == raw.hex().upper()
-    zipped = (starts(b"PK\x03", b"PK\x05", b"PK\x07") & (F.length(head) >= 8)) | starts(b"\x1f\x8b", b"\x28\xb5\x2f\xfd")
+    zipped = (starts(b"PK\x03", b"PK\x05", b"PK\x07") & (F.length(head) >= 8)) | starts(b"\x1f\x8b", b"\x28\xb5\x2f\xfd") | head.rlike("^5[0-9A-F]2A4D1804000000.{8}28B52FFD")  # the last is pzstd's
     tar = zipped | ((F.length(head) >= 2 * HEAD) & at(257, b"ustar")) | ends(".tar", ".zip")
     packets = (F.length(head) >= 8) & (starts(*captures.PCAP_MAGICS, captures.PCAPNG_MAGIC) | ends(".pcap", ".pcapng", ".cap"))
     name = F.when(starts(captures.PERF_MAGIC), "perf").when(ends(*NSYS), "nsys").when(tar, "tar")

@@ -3,6 +3,7 @@ import sqlite3
 import struct
 
 import pytest
+import zstandard
 
 from tellurion.operators.redact import RedactionError
 from tellurion.operators.views import CUSTOM
@@ -118,6 +119,30 @@ def test_broken_files_are_errors(content, name):
         dispatch.open_artifact(content, "", name)
 
 
+def framed(raw: bytes, at: int, pzstd: bool = False) -> bytes:
+    """Two frames of zstd, cut at ``at``; pzstd writes their sizes in frames to skip."""
+    frames = [zstandard.ZstdCompressor().compress(part) for part in (raw[:at], raw[at:])]
+    return b"".join((struct.pack("<3I", 0x184D2A50, 4, len(f)) if pzstd else b"") + f for f in frames)
+
+
+def test_all_frames_of_an_archive_are_scanned_and_scrubbed(spark, tmp_path):
+    raw = build.tar({"first.txt": b"nothing", "last.txt": TEXT})
+    last = raw.index(b"last.txt")
+    made = {"member.tar.zst": framed(raw, last), "middle.tar.zst": framed(raw, raw.index(TOKEN.encode()) + 5), "p.tar.zst": framed(raw, last, pzstd=True)}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+        assert [m.name for m in dispatch.open_artifact(content, name).members] == ["src", "first.txt", "last.txt"]
+        for broken in (content[:-3], content + b"garbage"):
+            with pytest.raises(InvalidArtifact):
+                dispatch.open_artifact(broken, name)
+    rows = artifacts.read_artifacts(spark, str(tmp_path))
+    assert {r.f for r in rows.select(dispatch.sniffed().alias("f")).collect()} == {"tar"}
+    assert sorted((r.path.rsplit("/", 1)[1], r.match) for r in artifacts.hits(rows, default_rules()).collect()) == [(n, TOKEN) for n in sorted(made)]
+    for r in artifacts.scrub(rows, default_rules(), verify=True).collect():
+        assert r.error is None and r.n_hits == 1 and r.left_over == 0
+        assert [m.name for m in dispatch.open_artifact(bytes(r.content), r.path).members] == ["src", "first.txt", "last.txt"]
+
+
 def test_truncated_packets_end_the_walk():
     assert len(dispatch.open_artifact(build.pcap(TEXT, TEXT)[:-5], "").chunks()) == 1
 

@@ -1,4 +1,4 @@
-"""Joins and merges of byte intervals: hits with members, cells, bodies and secrets."""
+"""Joins and merges of byte intervals: hits with members, cells, bodies and secrets. A null ``by`` is a value like any other."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def route(hits: DataFrame, members: DataFrame, by: str, order: str, block: int =
     m = members.where("span > 0").select(F.col(by).alias("__by"), F.col(order).alias("member"), F.col("base").alias("__base"), F.col("span").alias("__span"))
     m = m.withColumn("__block", F.explode(_blocks(F.col("__base"), F.col("__base") + F.col("__span"), block)))
     h = hits.withColumn("__at", F.floor(F.col("offset") / block))
-    inside = (F.col(by) == F.col("__by")) & (F.col("__at") == F.col("__block")) & (F.col("offset") >= F.col("__base")) & (F.col("offset") + F.col("len") <= F.col("__base") + F.col("__span"))
+    inside = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__at") == F.col("__block")) & (F.col("offset") >= F.col("__base")) & (F.col("offset") + F.col("len") <= F.col("__base") + F.col("__span"))
     found = h.join(m, inside)
     keys = [c for c in hits.columns]
     return found.groupBy(*keys).agg(F.min(F.struct("member", "__base")).alias("m")).select(*keys, F.col("m.member").alias("member"), (F.col("offset") - F.col("m.__base")).alias("inner_offset"))
@@ -49,7 +49,7 @@ def unrouted(hits: DataFrame, members: DataFrame, by: str, block: int = BLOCK) -
     """``hits`` that lie in no member: redacting them would touch structure."""
     m = members.where("span > 0").select(F.col(by).alias("__by"), F.col("base").alias("__base"), F.col("span").alias("__span"))
     m = m.withColumn("__block", F.explode(_blocks(F.col("__base"), F.col("__base") + F.col("__span"), block)))
-    inside = (F.col(by) == F.col("__by")) & (F.floor(F.col("offset") / block) == F.col("__block")) & (F.col("offset") >= F.col("__base")) & (F.col("offset") + F.col("len") <= F.col("__base") + F.col("__span"))
+    inside = F.col(by).eqNullSafe(F.col("__by")) & (F.floor(F.col("offset") / block) == F.col("__block")) & (F.col("offset") >= F.col("__base")) & (F.col("offset") + F.col("len") <= F.col("__base") + F.col("__span"))
     return hits.join(m, inside, "left_anti")
 
 
@@ -57,7 +57,7 @@ def guard(hits: DataFrame, members: DataFrame, by: str, block: int = BLOCK) -> D
     """``hits``, failing the query if one lies in no member; members don't overlap."""
     m = members.where("span > 0").select(F.col(by).alias("__by"), F.col("base").alias("__base"), F.col("span").alias("__span"), F.lit(True).alias("__in"))
     m = m.withColumn("__block", F.explode(_blocks(F.col("__base"), F.col("__base") + F.col("__span"), block)))
-    inside = (F.col(by) == F.col("__by")) & (F.floor(F.col("offset") / block) == F.col("__block")) & (F.col("offset") >= F.col("__base")) & (F.col("offset") + F.col("len") <= F.col("__base") + F.col("__span"))
+    inside = F.col(by).eqNullSafe(F.col("__by")) & (F.floor(F.col("offset") / block) == F.col("__block")) & (F.col("offset") >= F.col("__base")) & (F.col("offset") + F.col("len") <= F.col("__base") + F.col("__span"))
     found = hits.join(m, inside, "left")
     return found.where(F.assert_true(F.col("__in").isNotNull(), "a hit lies outside of every body").isNull()).select(*hits.columns)
 
@@ -67,7 +67,7 @@ def uncovered(secrets: DataFrame, hits: DataFrame, by: str, block: int = BLOCK)
     s = secrets.withColumn("__block", F.explode(_blocks(F.col("start"), F.col("end"), block)))
     h = hits.select(F.col(by).alias("__by"), F.col("offset").alias("__at"), (F.col("offset") + F.col("len")).alias("__to"))
     h = h.withColumn("__hit", F.explode(_blocks(F.col("__at"), F.col("__to"), block)))
-    over = (F.col(by) == F.col("__by")) & (F.col("__block") == F.col("__hit")) & (F.col("__at") < F.col("end")) & (F.col("__to") > F.col("start"))
+    over = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__hit")) & (F.col("__at") < F.col("end")) & (F.col("__to") > F.col("start"))
     touched = s.join(h, over, "left_semi").select(*secrets.columns).distinct()
     return secrets.join(touched, [F.equal_null(secrets[c], touched[c]) for c in secrets.columns], "left_anti")
 

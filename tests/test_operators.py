@@ -135,6 +135,18 @@ def test_members_and_routes(spark):
         intervals.guard(found, placed, "path").collect()
 
 
+def test_members_without_a_name(spark):
+    """A null ``by`` is a group of its own, as in linearise."""
+    members = spark.createDataFrame([(None, 1, 10), (None, 2, 10), ("a", 1, 7)], "path string, ord long, span long")
+    placed = intervals.linearise(members, "path", "ord")
+    found = spark.createDataFrame([(None, 12, 3), (None, 20, 1), ("a", 0, 2), ("a", 7, 1)], "path string, offset long, len long")
+    assert sorted((r.path or "", r.offset, r.member, r.inner_offset) for r in intervals.route(found, placed, "path", "ord").collect()) == [("", 12, 2, 2), ("a", 0, 1, 0)]
+    assert sorted((r.path or "", r.offset) for r in intervals.unrouted(found, placed, "path").collect()) == [("", 20), ("a", 7)]
+    assert intervals.guard(found.where("offset < 13 and (path is null or offset < 7)"), placed, "path").count() == 2
+    secrets = spark.createDataFrame([(None, 13, 14), (None, 16, 18), ("a", 3, 4)], "path string, start long, end long")
+    assert sorted((r.path or "", r.start) for r in intervals.uncovered(secrets, found, "path").collect()) == [("", 16), ("a", 3)]
+
+
 def test_merged_intervals(spark):
     found = spark.createDataFrame([(1, 0, 5), (1, 3, 4), (1, 7, 1), (1, 9, 1), (1, 0, 2), (2, 0, 1)], "id long, offset long, len long")
     assert {tuple(r) for r in intervals.merged(found, "id").collect()} == {(1, 0, 8, 4), (1, 9, 10, 1), (2, 0, 1, 1)}

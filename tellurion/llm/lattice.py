@@ -5,7 +5,7 @@ block. In a table, a vector's *home* is the E8 lattice point (scaled by ``cell``
 squared distances add up to the whole squared distance, so two vectors of cosine >= c, at distance r =
 sqrt(2 - 2c), are within rho = r / sqrt(blocks) of one another in at least one table. There, each vector probes every
 neighbouring cell that a point within rho of it could have as its home, so the pair surely meets: the hashing loses
-no link, and cosine in double precision is verified for all that meet.
+no link (where it would have to probe too far, it raises an error), and cosine in double precision is verified for all that meet.
 
 Of two neighbouring cells only the one with the smaller code is probed, which halves the probes and makes a pair meet
 once a table. A link is counted in the first table where its blocks are within rho. Links are counted where they are
@@ -15,7 +15,6 @@ with their number. Cells of more than ``HOT`` homes are dealt to several tasks:
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,17 +29,26 @@ from .simhash import _roots
 
 HOT = 4096
 SLACK = 1e-6
-
-
-def _shells() -> np.ndarray:
-    """The E8 vectors of squared norm 2, 4 and 6: all that a probe can be away from home."""
-    def norm(v: np.ndarray) -> np.ndarray:
-        return (v**2).sum(1)
-
-    whole = [v for v in itertools.product((-2, -1, 0, 1, 2), repeat=8) if sum(v) % 2 == 0 and 0 < sum(x * x for x in v) <= 6]
-    half = [v for v in itertools.product((-1.5, -0.5, 0.5, 1.5), repeat=8) if sum(v) % 2 == 0 and sum(x * x for x in v) <= 6]
-    v = np.array(whole + half, dtype=np.float64)
-    return v[np.argsort(norm(v), kind="stable")]
+#: Cells that a probe goes at most: there are 340,320 E8 vectors within 4.
+REACH = 4.0
+#: Distances held at a time.
+HELD = 1 << 23
+
+
+def _shells(reach: float = 6**0.5) -> np.ndarray:
+    """The E8 vectors but 0 of length ``reach`` at most, by length."""
+    if reach > REACH:
+        raise ValueError(f"vectors may link over {reach:.2f} cells, more than {REACH:g}: use a larger cell")
+    found = []
+    for shift in (0.0, 0.5):
+        axis = np.arange(-np.ceil(reach), np.ceil(reach) + 1) + shift
+        v = np.zeros((1, 0))
+        for _ in range(8):
+            v = np.c_[np.repeat(v, len(axis), 0), np.tile(axis, len(v))]
+            v = v[(v**2).sum(1) <= reach**2 + SLACK]
+        found.append(v[(v.sum(1) % 2 == 0) & v.any(1)])
+    v = np.concatenate(found)
+    return v[np.argsort((v**2).sum(1), kind="stable")]
 
 
 def nearest(y: np.ndarray) -> np.ndarray:
@@ -81,7 +89,7 @@ class Lattice:
     def __init__(self, cosine: float, cell: float, seed: int):
         self.cosine, self.cell, self.seed = cosine, cell, seed
         self.maps: dict[int, np.ndarray] = {}
-        self.shells: np.ndarray | None = None
+        self.shells: dict[int, np.ndarray] = {}
 
     def map(self, dims: int) -> np.ndarray:
         if dims not in self.maps:
@@ -94,20 +102,25 @@ class Lattice:
 
     def places(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, code, probing) of each cell that the unit vectors ``x`` occupy or probe in a table."""
-        if self.shells is None:
-            v = _shells()
-            self.shells = v[np.sqrt((v**2).sum(1)) <= 2 + self.rho(x.shape[1]) / self.cell]  # beyond, no cell is in reach
-        y = (x @ self.map(x.shape[1])[:, 8 * table : 8 * table + 8]) / self.cell
-        rho = self.rho(x.shape[1]) / self.cell
+        dims = x.shape[1]
+        rho = self.rho(dims) / self.cell
+        if dims not in self.shells:
+            self.shells[dims] = _shells(2 + rho)  # beyond, no cell is in reach
+        shells = self.shells[dims]
+        y = (x @ self.map(dims)[:, 8 * table : 8 * table + 8]) / self.cell
         home = nearest(y)
-        rest = y - home
-        length = np.sqrt((self.shells**2).sum(1))
-        # a cell is in reach if the hyperplane between it and home is, and if the cell's centre is within its covering radius and rho
-        gap = length**2 - 2 * rest @ self.shells.T
-        near = (gap <= 2 * rho * length) & (gap + (rest**2).sum(1, keepdims=True) <= (1 + rho) ** 2)
-        row, to = np.nonzero(near)
+        length = np.sqrt((shells**2).sum(1))
+        found = []
+        step = max(1, HELD // len(shells))
+        for at in range(0, len(y), step):
+            rest = (y - home)[at : at + step]
+            # a cell is in reach if the hyperplane between it and home is, and if the cell's centre is within its covering radius and rho
+            gap = length**2 - 2 * rest @ shells.T
+            near = (gap <= 2 * rho * length) & (gap + (rest**2).sum(1, keepdims=True) <= (1 + rho) ** 2)
+            found.append(np.stack(np.nonzero(near)) + [[at], [0]])
+        row, to = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         own = codes(home)
-        there = codes(home[row] + self.shells[to])
+        there = codes(home[row] + shells[to])
         less = there < own[row]
         return np.r_[np.arange(len(x)), row[less]], np.r_[own, there[less]], np.r_[np.zeros(len(x), np.int8), np.ones(int(less.sum()), np.int8)]
 
@@ -281,7 +294,8 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, cell: float = 0.3, se
     least ``cosine``. Null and zero vectors, and those with null or non-finite components, link with nothing, nor do
     vectors of different length. A repeated row counts as another vector; a null vec_id is never a component_id
     unless no other is reachable, and then kept is true. ``cell`` scales the lattice: smaller cells hold fewer
-    vectors and are probed by more. Other columns are ignored.
+    vectors and are probed by more; ValueError if linked vectors may lie more than ``REACH`` cells apart. Other columns
+    are ignored.
     """
     lat = Lattice(cosine, cell, seed)
     n = partitions(vectors.sparkSession)

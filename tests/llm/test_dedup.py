@@ -146,6 +146,26 @@ def test_lattice_equals_brute_force(spark, hot, monkeypatch):
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter(expected)
 
 
+def test_lattice_links_cells_of_squared_norm_8(spark):
+    """Two vectors of cosine 0.95 near the shallow holes between two such cells, beside vectors of other lengths."""
+    apart = np.array([2.0, 1, 1, 1, 1, 0, 0, 0])
+    home = np.array([-3.0, 0, 0, 1, 1, -1, 0, 0])  # from which both are equally far
+    at = home + np.array([[0.33], [0.67]]) * apart
+    assert ((lattice.nearest(at) - home) == [[0.0] * 8, apart]).all()
+    length = np.sqrt((at**2).sum(1))
+    assert np.allclose(length, length[0])
+    x = at / length[:, None] @ lattice.rotation(8, 7).T
+    assert x[0] @ x[1] > 0.95
+    wide = np.random.default_rng(5).normal(size=64)
+    frame = spark.createDataFrame([(0, wide.tolist(), 1), (1, x[0].tolist(), 1), (2, x[1].tolist(), 1)], "vec_id long, embedding array<float>, label int").coalesce(1)
+    assert {r.vec_id: r.n_links for r in lattice.link_vectors(frame, 0.95, 1 / length[0]).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_lattice_says_where_it_would_have_to_probe_too_far():
+    with pytest.raises(ValueError, match="larger cell"):
+        lattice.Lattice(0.5, 0.3, 7).places(np.eye(8), 0)
+
+
 def test_lattice_on_an_empty_table(spark):
     assert lattice.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 

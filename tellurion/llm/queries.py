@@ -105,7 +105,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _url_sql() -> str:
     """The judgement in SQL: rules by a chain, then the three levels of shrinkage."""
-    rules = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
+    rules = [(v, r) for v, r, *_ in urls.ranked(URL_RULES)]
 
     def fits(rule: str, start: bool = True) -> str:
         h, _, p = rule.partition("/")
@@ -127,9 +127,9 @@ WITH p AS (
     SELECT *, {chain(1)} AS rule, {chain(0)} AS says, {" OR ".join(fits(r[1], False) for r in rules)} AS reviewed FROM p
 ), h0 AS (
     SELECT host, sum(reviewed::INT)::DOUBLE AS n, sum((reviewed AND coalesce(says = 'block', false))::INT)::DOUBLE AS k,
-        string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM r GROUP BY host
+        regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', '') AS bare, string_split(bare, '.') AS l FROM r GROUP BY host
 ), h1 AS (
-    SELECT *, CASE WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ({second}) THEN 2 ELSE 1 END AS s FROM h0
+    SELECT *, CASE WHEN regexp_matches(bare, '{urls.ADDRESS}') THEN len(l) WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ({second}) THEN 2 ELSE 1 END AS s FROM h0
 ), h2 AS (
     SELECT host, n, k, array_to_string(l[greatest(1, len(l) - s):], '.') AS domain, array_to_string(l[greatest(1, len(l) - s + 1):], '.') AS suffix FROM h1
 ), base AS (

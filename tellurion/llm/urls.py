@@ -21,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 # Labels that, before a country's two letters, belong to the public suffix.
 SECOND = ("ac", "co", "com", "edu", "gob", "gov", "net", "nom", "or", "org")
+#: Hosts that are addresses, of either version.
+ADDRESS = r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$"
 
 #: Lower and upper bound of the correlation of outcomes within a group.
 LEAST, MOST = 0.001, 0.99
@@ -39,15 +41,17 @@ def path(url: str | Column) -> Column:
 
 
 def domain_levels(name: Column) -> tuple[Column, Column]:
-    """(registered domain, public suffix) of a host; a port counts for neither."""
-    labels = F.split(F.regexp_replace(name, ":[0-9]*$", ""), r"\.")
+    """(registered domain, public suffix) of a host; user and port count for neither, and an IP address is both by itself."""
+    bare = F.regexp_replace(F.regexp_replace(name, "(?s)^.*@", ""), ":[0-9]*$", "")
+    address = bare.rlike(ADDRESS)
+    labels = F.split(bare, r"\.")
     n = F.size(labels)
     long = (n >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*SECOND)
     k = F.when(long, 2).otherwise(1)
 
     def last(m: Column) -> Column:
         m = F.least(m, n)
-        return F.array_join(F.slice(labels, n - m + 1, m), ".")
+        return F.when(address, bare).otherwise(F.array_join(F.slice(labels, n - m + 1, m), "."))
 
     return last(k + 1), last(k)
 
@@ -56,9 +60,19 @@ def _fits(rule_host: Column, rule_path: Column) -> Column:
     return ((F.col("host") == rule_host) | F.endswith(F.col("host"), F.concat(F.lit("."), rule_host))) & F.startswith(F.col("path"), rule_path)
 
 
+def ranked(rules: list[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
+    """(verdict, rule, host, start of path), the one that decides first: the longest, of these the one that blocks, then by name."""
+    parts = [(v, r, r.partition("/")[0], "/" + r.partition("/")[2]) for v, r in rules]
+    return sorted(parts, key=lambda x: (-len(x[1]), x[0] != "block", x[1]))
+
+
 def match_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """``rows`` (with host and path) with rule, verdict and reviewed; ``rules`` are (verdict, "host/path")."""
-    parts = [(v, r, r.partition("/")[0], "/" + r.partition("/")[2]) for v, r in sorted(rules, key=lambda x: (-len(x[1]), x[1]))]
+    """``rows`` (with host and path) with rule, verdict and reviewed (some rule fits the host); ``rules`` are (verdict, "host/path").
+
+    The longest rule decides; of equally long ones, one that blocks, then the smaller name. Many rules are joined to
+    the distinct hosts and paths, by the hosts above each; up to ``INLINE`` are one expression. Both give the same.
+    """
+    parts = ranked(rules)
     if len(parts) <= INLINE:
         rule, verdict, reviewed = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
         for v, r, h, p in reversed(parts):
@@ -66,22 +80,25 @@ def match_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
             rule, verdict = F.when(fits, r).otherwise(rule), F.when(fits, v).otherwise(verdict)
             reviewed = reviewed | _fits(F.lit(h), F.lit(""))
         return rows.withColumns({"rule": rule, "verdict": verdict, "reviewed": reviewed})
-    listed = rows.sparkSession.createDataFrame([(h, p, r, v) for v, r, h, p in parts], "at string, start string, name string, says string")
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
+    listed = rows.sparkSession.createDataFrame([(h, p, k, r, v) for k, (v, r, h, p) in enumerate(parts)], "at string, start string, rank int, name string, says string")
+    places = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    near = keyed.select("__row", "path", F.explode(above).alias("at")).join(listed, "at")
-    fits = F.startswith("path", "start")
-    best = near.groupBy("__row").agg(F.max(F.when(fits, F.struct(F.length("name").alias("n"), "name", "says"))).alias("best"))
-    found = keyed.join(best.withColumnRenamed("__row", "__r"), F.col("__row") == F.col("__r"), "left")
-    return found.withColumns({"rule": F.col("best.name"), "verdict": F.col("best.says"), "reviewed": F.col("__r").isNotNull()}).drop("best", "__row", "__r")
+    near = places.select("host", "path", F.explode(above).alias("at")).join(listed, "at")
+    best = F.min(F.when(F.startswith("path", "start"), F.struct("rank", "name", "says"))).alias("best")
+    found = near.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(best)
+    both = rows.join(found, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    return both.withColumns({"rule": F.col("best.name"), "verdict": F.col("best.says"), "reviewed": F.col("h").isNotNull()}).drop("best", "h", "p")
 
 
 def _strength(children: DataFrame, mean: Column) -> float:
-    """Prior weight, in pages, that makes the children's counts (n, k) scatter as they do around ``mean``."""
+    """Prior weight, in pages, that makes the children's counts (n, k) scatter as they do around ``mean``.
+
+    Where no child has two labelled pages nothing scatters, and the weight is the largest.
+    """
     v = mean * (1 - mean)
     off = F.sum((F.col("k") - F.col("n") * mean) * (F.col("k") - F.col("n") * mean)) - F.sum(F.col("n") * v)
-    rho = children.agg((off / F.sum(F.col("n") * (F.col("n") - 1) * v)).alias("rho")).first()[0]
+    rho = children.agg(F.try_divide(off, F.sum(F.col("n") * (F.col("n") - 1) * v)).alias("rho")).first()[0]
     return 1 / min(MOST, max(LEAST, rho or 0.0)) - 1
 
 
@@ -111,17 +128,19 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url).
 
-    ``outcomes`` (url, bad 0/1) are labelled pages; without them the rules label the pages. A null url, and one
-    without ``://``, has an empty host and path and the reputation of the empty host. Rows are kept whole, repeated
-    or not. Other columns are ignored.
+    ``outcomes`` (url, bad 0/1; null: not labelled) are labelled pages; without them the rules label the pages. Hosts
+    without any labelled page stand as their domain and suffix do, or as all do. A null url, and one without ``://``,
+    has an empty host and path and the reputation of the empty host. Rows are kept whole, repeated or not. Other
+    columns are ignored; an empty table gives an empty result.
     """
+
     def parsed(rows: DataFrame, *names: str) -> DataFrame:
         return rows.select(*names, host("url").alias("host"), path("url").alias("path"))
 
     rows = match_rules(parsed(pages, "page_id"), rules)
     seen = rows.select("host", F.col("reviewed").cast("long").alias("n"), (F.col("reviewed") & F.coalesce(F.col("verdict") == "block", F.lit(False))).cast("long").alias("k"))
     if outcomes is not None:
-        given = parsed(outcomes, "bad").select("host", F.when(F.col("bad").isNotNull(), 1).otherwise(0).cast("long").alias("n"), F.coalesce("bad", F.lit(0)).cast("long").alias("k"))
+        given = parsed(outcomes, "bad").select("host", F.when(F.col("bad").isNotNull(), 1).otherwise(0).cast("long").alias("n"), F.coalesce(F.col("bad").cast("long"), F.lit(0)).cast("long").alias("k"))
         seen = seen.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k")).unionByName(given)
     bounds = reputation(seen.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     found = rows.join(bounds, "host", "left")

@@ -1,4 +1,7 @@
-from tellurion.llm import pages, urls
+import duckdb
+import pytest
+
+from tellurion.llm import pages, queries, urls
 
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1><ul><li><a href=x>Home</a><li><a>About</a></ul></header>
 <div class="cookie-notice">We use cookies</div><div id=wrap class="layout has-sidebar content"><main><article class="post post-{n}"><header><h1>My &amp; title</h1></header>
@@ -74,40 +77,146 @@ def test_pages_of_a_host_agree(spark):
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
-def brute(url):
+def brute(url, rules=RULES):
     host, path = "", ""
     if url and "://" in url:
         rest = url.split("://", 1)[1].split("?")[0].split("#")[0]
         host, slash, path = rest.partition("/")
         host, path = "".join(c.lower() if c.isascii() else c for c in host), slash + path
-    fits = [(len(r), r, v) for v, r in RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
-    return (host, path, *(max(fits)[1:] if fits else (None, None)))
+    fits = [(-len(r), v != "block", r, v) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+    return (host, path, *(min(fits)[2:] if fits else (None, None)))
+
+
+def levels(host):
+    """(domain, suffix) of a host."""
+    bare = host.rpartition("@")[2]
+    bare = bare.rpartition(":")[0] if ":" in bare and bare.rpartition(":")[2].strip("0123456789") == "" else bare
+    labels = bare.split(".")
+    if bare.startswith("[") or (len(labels) == 4 and all(x.isdigit() for x in labels)):
+        return bare, bare
+    k = 2 if len(labels) >= 3 and len(labels[-1]) == 2 and labels[-2] in urls.SECOND else 1
+    return ".".join(labels[-k - 1 :]), ".".join(labels[-k:])
+
+
+def slow_bounds(counts):
+    """{host: bound} of {host: (labelled, bad)}, level by level."""
+
+    def strength(children, mean):
+        off = sum((k - n * mean[c]) ** 2 - n * mean[c] * (1 - mean[c]) for c, (n, k) in children.items())
+        den = sum(n * (n - 1) * mean[c] * (1 - mean[c]) for c, (n, _) in children.items())
+        return 1 / min(urls.MOST, max(urls.LEAST, off / den if den else 0.0)) - 1
+
+    def total(by):
+        out = {}
+        for h, (n, k) in counts.items():
+            was = out.get(by(h), (0, 0))
+            out[by(h)] = (was[0] + n, was[1] + k)
+        return out
+
+    base = (sum(k for _, k in counts.values()) + 0.5) / (sum(n for n, _ in counts.values()) + 1)
+    suffixes, domains = total(lambda h: levels(h)[1]), total(levels)
+    w = strength(suffixes, dict.fromkeys(suffixes, base))
+    suffix = {s: (w * base + k) / (w + n) for s, (n, k) in suffixes.items()}
+    above = {d: suffix[d[1]] for d in domains}
+    w = strength(domains, above)
+    domain = {d: (w * above[d] + k) / (w + n) for d, (n, k) in domains.items()}
+    above = {h: domain[levels(h)] for h in counts}
+    w = strength(counts, above)
+    out = {}
+    for h, (n, k) in counts.items():
+        a, b = w * above[h] + k, w * (1 - above[h]) + n - k
+        out[h] = a / (a + b) - urls.Z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+    return out
+
+
+def slow_judgement(asked, rules, outcomes=None):
+    """[(host, path, rule, verdict)] of urls."""
+    counts, judged = {}, [brute(u, rules) for u in asked]
+    for host, _, _, says in judged:
+        reviewed = outcomes is None and any(host == h or host.endswith("." + h) for h in (r.split("/", 1)[0] for _, r in rules))
+        n, k = counts.get(host, (0, 0))
+        counts[host] = (n + reviewed, k + (reviewed and says == "block"))
+    for u, bad in outcomes or []:
+        host = brute(u, [])[0]
+        n, k = counts.get(host, (0, 0))
+        counts[host] = (n + (bad is not None), k + (bad or 0))
+    bounds = slow_bounds(counts)
+    return [(h, p, r, v or ("block" if bounds[h] > urls.LIMIT else "allow")) for h, p, r, v in judged]
+
+
+def told(rows):
+    return sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows), key=str)
+
+
+def judged(spark, asked, rules, outcomes=None):
+    frame = spark.createDataFrame([(k, u, "h", "p", 1) for k, u in enumerate(asked)], "page_id long, url string, host string, rule string, n int")
+    return told(urls.judge(frame, rules, outcomes and spark.createDataFrame(outcomes, "url string, bad int")).collect())
+
+
+def expected(asked, rules, outcomes=None):
+    return sorted(((k, *x) for k, x in enumerate(slow_judgement(asked, rules, outcomes))), key=str)
 
 
 URLS = [
     None, "", "no scheme", "http://A.Example.NET/en/x?y#z", "https://example.net/EN/x", "x://net", "x://net/", "http://b.example.com/de/1", "http://b.example.com/deep", "http://notexample.com/de/1",
-    "http://f.org/fr/1#a", "http://f.org?fr/", "http://f.org/", "ftp://ÄB.org/fr/://x", "http://a.co.uk:8080/x", "http://c.example.com/en/\n/2",
+    "http://f.org/fr/1#a", "http://f.org?fr/", "http://f.org/", "ftp://ÄB.org/fr/://x", "http://a.co.uk:8080/x", "http://c.example.com/en/\n/2", "http://10.1.2.3/x", "http://10.1.2.4:80/x", "http://u:p@[::1]:8080/", "http://u@x.example.com/de/",
+    "http://f.org/fr/1#a",
 ]
 
 
-def test_urls_are_judged_by_the_longest_rule(spark, monkeypatch):
-    frame = spark.createDataFrame([(k, u, "h", "p", 1) for k, u in enumerate(URLS)], "page_id long, url string, host string, rule string, n int")
-    for inline in (64, 0):
-        monkeypatch.setattr(urls, "INLINE", inline)
-        got = {r.page_id: r for r in urls.judge(frame, RULES).collect()}
-        assert len(got) == len(URLS)
-        for k, u in enumerate(URLS):
-            host, path, rule, verdict = brute(u)
-            assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule)
-            assert got[k].verdict == (verdict or got[k].verdict) and got[k].verdict in ("allow", "block")
-    assert urls.judge(frame.limit(0), RULES).collect() == []
+@pytest.mark.parametrize("inline", [64, 0])
+def test_urls_are_judged_by_the_longest_rule(spark, monkeypatch, inline):
+    monkeypatch.setattr(urls, "INLINE", inline)
+    assert judged(spark, URLS, RULES) == expected(URLS, RULES)
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), RULES).collect() == []
+
+
+@pytest.mark.parametrize("more", [0, 60, 61, 200])
+def test_equally_long_rules_are_settled_alike_by_any_number_of_rules(spark, more):
+    """Below and above INLINE rules."""
+    rules = [("block", "a.net/"), ("allow", "net/x/"), ("allow", "b.com/y/"), ("block", "b.com/y/"), *(("allow", f"other{k}.org/") for k in range(more))]
+    asked = ["http://a.net/x/1", "http://a.net/y", "http://b.net/x/", "http://b.com/y/z", "http://other1.org/"]
+    got = judged(spark, asked, rules)
+    assert got == expected(asked, rules)
+    assert [r[3:] for r in got[:4]] == [("a.net/", "block"), ("a.net/", "block"), ("net/x/", "allow"), ("b.com/y/", "block")]
+
+
+@pytest.mark.parametrize("asked", [["http://a.example/1", "http://b.example/"], ["http://a.net/"], ["http://a.net/1", "http://a.net/2", "http://b.net/"], ["http://a.example.com/x"], [None], [None, None, ""]])
+def test_few_or_no_reviewed_pages(spark, asked):
+    """No rule fits, a single page, all pages blocked: nothing scatters."""
+    assert judged(spark, asked, RULES) == expected(asked, RULES)
+    assert judged(spark, asked, RULES, [(None, None)]) == expected(asked, RULES, [(None, None)])
+
+
+PLANTED = [*(f"http://bad.example.com/de/{k}" for k in range(60)), "http://bad.example.com/fr/1", "http://bad.example.com/", *(f"http://good.example.com/en/{k}" for k in range(40)), "http://good.example.com/de/1", "http://new.bad.example.com/x", "http://else.info/", None]
+
+
+def test_the_registered_query_and_its_sql_block_a_host_by_reputation(spark, tmp_path):
+    """Rules block most of one host's pages; its other pages go with them, and those of its neighbours stay."""
+    spark.createDataFrame(list(enumerate(PLANTED)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = told(queries.op10_url_reputation(spark, str(tmp_path)).collect())
+    assert got == expected(PLANTED, queries.URL_RULES)
+    by_reputation = {PLANTED[k]: verdict for k, _, _, rule, verdict in got if rule is None}
+    assert by_reputation["http://bad.example.com/fr/1"] == by_reputation["http://bad.example.com/"] == "block"
+    assert by_reputation["http://good.example.com/en/1"] == by_reputation["http://else.info/"] == by_reputation[None] == "allow"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE_SQL['op10_url_reputation']})").fetchall(), key=str) == got
 
 
 def test_reputation_shrinks_little_evidence(spark):
     outcomes = [(f"http://bad.shop.com/{k}", 1) for k in range(40)] + [(f"http://good.site.org/{k}", 0) for k in range(40)]
     outcomes += [(f"http://mixed.site.org/{k}", k % 2) for k in range(20)] + [("http://other.site.org/", 1), (None, None)]
-    frame = spark.createDataFrame(outcomes, "url string, bad int")
     asked = ["http://bad.shop.com/new", "http://good.site.org/new", "http://other.site.org/new", "http://never.seen/", "http://new.shop.com/"]
-    got = {r.host: r.verdict for r in urls.judge(spark.createDataFrame([(k, u) for k, u in enumerate(asked)], "page_id long, url string"), [], frame).collect()}
-    assert got["bad.shop.com"] == "block"
-    assert got["good.site.org"] == got["other.site.org"] == got["never.seen"] == "allow"  # one bad page of a good domain proves little
+    got = judged(spark, asked, [], outcomes)
+    assert got == expected(asked, [], outcomes)
+    verdict = {host: v for _, host, _, _, v in got}
+    assert verdict["bad.shop.com"] == "block"
+    assert verdict["good.site.org"] == verdict["other.site.org"] == verdict["never.seen"] == "allow"  # one bad page of a good domain proves little
+
+
+def test_addresses_are_their_own_domain(spark):
+    names = ["10.1.2.3", "10.1.2.3:80", "u:p@[::1]:8080", "a.b.co.uk", "a.b.c.com:1", "com", "", "x.y.z."]
+    frame = spark.createDataFrame([(h,) for h in names], "h string")
+    domain, suffix = urls.domain_levels(frame["h"])
+    assert [tuple(r) for r in frame.select("h", domain, suffix).collect()] == [(h, *levels(h)) for h in names]

@@ -25,10 +25,14 @@ WIDTHS = (2, 3, 4)
 FILTERS, VECTOR = 8, 6
 #: Labelled documents that the network is trained on for each language at most (those of smallest hash), and windows of each, dealt over its text.
 SAMPLE, PIECES = 600, 6
-STEPS, BATCH, RATE = 500, 128, 0.004
+#: Languages that are learned at most, those of most documents, and windows of all of them together: of more languages, each has fewer documents.
+LANGUAGES, ROOM = 500, 120_000
+STEPS, BATCH, RATE, PENALTY = 500, 128, 0.004, 1e-4
 #: Windows that are scored at a time.
 TOGETHER = 64
 
+WEIGHTS = ("vectors", "filters", "bias", "out", "offset")
+
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -72,6 +76,28 @@ class Network:
             parts.append(z / z.sum(1, keepdims=True))
         return np.concatenate(parts)
 
+    def gradients(self, windows: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean cross-entropy of windows and the positions of their languages, with a weak penalty on ``out``, and its gradients."""
+        n, wide = self.filters.shape[1], self.filters.shape[0] // self.vectors.shape[1]
+        every, rows = np.arange(len(windows)), np.arange(len(windows))[:, None]
+        c = self.columns(windows)
+        r = (c.reshape(-1, c.shape[2]) @ self.filters).reshape(len(windows), -1, n)
+        top = r.argmax(1)
+        high = np.take_along_axis(r, top[:, None, :], 1)[:, 0] + self.bias
+        h = np.maximum(high, 0)
+        z = h @ self.out + self.offset
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        loss = float(-np.log(p[every, labels] + 1e-30).mean() + PENALTY / 2 * (self.out**2).sum())
+        p[every, labels] -= 1
+        p /= len(windows)
+        dh = (p @ self.out.T) * (high > 0)
+        best = c[rows, top]  # (windows, filters, wide * VECTOR)
+        dbest = (dh[:, :, None] * self.filters.T[None]).reshape(len(windows), n, wide, -1)
+        vectors = np.zeros_like(self.vectors)
+        np.add.at(vectors, windows[rows[:, :, None], top[:, :, None] + np.arange(wide)], dbest)
+        return loss, {"vectors": vectors, "filters": np.einsum("bf,bfk->kf", dh, best), "bias": dh.sum(0), "out": h.T @ p + PENALTY * self.out, "offset": p.sum(0)}
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ``und`` and 0 for null texts and those without a letter."""
         fine = [bool(self.languages) and bool(t) and _LETTER.search(t) is not None for t in texts]
@@ -111,30 +137,14 @@ def fit(languages: list[str], windows: list[bytes], labels: np.ndarray, seed: in
         rng.normal(0, 0.3, (n, len(languages))).astype(np.float32),
         np.zeros(len(languages), np.float32),
     )
-    names = ("vectors", "filters", "bias", "out", "offset")
-    first = {k: np.zeros_like(getattr(net, k)) for k in names}
-    second = {k: np.zeros_like(getattr(net, k)) for k in names}
+    first = {k: np.zeros_like(getattr(net, k)) for k in WEIGHTS}
+    second = {k: np.zeros_like(getattr(net, k)) for k in WEIGHTS}
     x, groups = as_array(windows), [np.flatnonzero(labels == k) for k in range(len(languages))]
     for step in range(1, STEPS + 1):
         pick = np.concatenate([rng.choice(g, max(1, BATCH // len(groups))) for g in groups])
-        batch, y = x[pick], labels[pick]
-        c = net.columns(batch)
-        r = (c.reshape(-1, c.shape[2]) @ net.filters).reshape(len(batch), -1, n)
-        top = r.argmax(1)
-        high = np.take_along_axis(r, top[:, None, :], 1)[:, 0] + net.bias
-        h = np.maximum(high, 0)
-        z = h @ net.out + net.offset
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        p /= len(y)
-        dh = (p @ net.out.T) * (high > 0)
-        best = c[np.arange(len(batch))[:, None], top]  # (batch, filters, places * VECTOR)
-        dbest = (dh[:, :, None] * net.filters.T[None]).reshape(len(batch), n, wide, VECTOR)
-        dvec = np.zeros_like(net.vectors)
-        np.add.at(dvec, batch[np.arange(len(batch))[:, None, None], top[:, :, None] + np.arange(wide)], dbest)
-        grads = {"vectors": dvec, "filters": np.einsum("bf,bfk->kf", dh, best) * seen, "bias": dh.sum(0), "out": h.T @ p + 1e-4 * net.out, "offset": p.sum(0)}
-        for k in names:
+        _, grads = net.gradients(x[pick], labels[pick])
+        grads["filters"] *= seen
+        for k in WEIGHTS:
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
             second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
             rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
@@ -142,22 +152,33 @@ def fit(languages: list[str], windows: list[bytes], labels: np.ndarray, seed: in
     return net
 
 
+def _unlearned() -> Network:
+    return Network([], *(np.zeros(0, np.float32) for _ in WEIGHTS))
+
+
+def sample(docs: DataFrame, modulus: int, out: int) -> DataFrame:
+    """(doc_id, lang, text): one document for each of at most SAMPLE ids of each language, of those that may be learned from.
+
+    However many rows an id has, it counts once for a language, and its smallest text with a letter is taken.
+    """
+    letters = F.col("text").rlike(r"\p{L}")
+    allowed = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & letters & learned_on("doc_id", modulus, out)).select("doc_id", "lang", "text")
+    counts = cut(allowed.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.05).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES))
+    each = max(1, min(SAMPLE, ROOM // (PIECES * max(1, counts.count()))))
+    # by chance no more than a few times the sample of each language
+    place = uniform("doc_id")
+    near = allowed.join(F.broadcast(counts), "lang").where(place * F.col("n") < 4.0 * each).select("doc_id", "lang").distinct()  # LANGUAGES rows
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    ids = cut(near.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "lang"))
+    picked = allowed.join(F.broadcast(ids), ["doc_id", "lang"])  # ROOM / PIECES ids
+    return picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, modulus: int = 4, out: int = 2) -> Network:
     """A network from the text and lang of documents whose crc32(doc_id as text) modulo ``modulus`` isn't ``out``.
 
     Documents without lang, doc_id or a letter teach nothing; without any that do, every text is ``und``.
     """
-    allowed = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learned_on("doc_id", modulus, out))
-    place = uniform("doc_id")
-    # by chance no more than a few times the sample of each language, one of which there is for each output of the network
-    counts = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().collect()}
-    if not counts:
-        return Network([], *(np.zeros(0, np.float32) for _ in range(5)))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * SAMPLE / n))), F.col("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
-    ids = allowed.where(place < share).select("doc_id", "lang").withColumn("rank", rank)
-    ids = cut(ids.where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct())
-    picked = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])  # SAMPLE ids a language
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,11 +192,11 @@ def train(docs: DataFrame, modulus: int = 4, out: int = 2) -> Network:
                     part += own
             yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "part": pa.array(part, pa.binary())})
 
-    rows = picked.mapInArrow(windows, "lang string, part binary").collect()  # SAMPLE * PIECES windows a language
+    rows = sample(docs, modulus, out).select("lang", "text").mapInArrow(windows, "lang string, part binary").collect()  # ROOM windows
     rows = sorted((r["lang"], bytes(r["part"])) for r in rows)
     names = sorted({lang for lang, _ in rows})
     if not names:
-        return Network([], *(np.zeros(0, np.float32) for _ in range(5)))
+        return _unlearned()
     number = {name: k for k, name in enumerate(names)}
     return fit(names, [w for _, w in rows], np.array([number[lang] for lang, _ in rows]))
 
@@ -197,13 +218,21 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row of ``docs`` (doc_id, text, lang), by a network that learned from the others."""
+    """(doc_id, held_out, lang_pred, score) of every row of ``docs`` (doc_id, text, lang), by a network that learned from the others.
+
+    held_out is false for a null doc_id. Rows are kept whole, repeated or not, and repeated ones are judged alike; of
+    languages that score the same, the first by name. An empty table gives an empty result. Other columns are ignored.
+    """
     held = F.coalesce(~learned_on("doc_id", 4, 2), F.lit(False))
     return predict(docs, train(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the texts that are in no language (``und``); all columns are kept and no text is shuffled."""
+    """``docs`` without the texts that are in no language (``und``): null texts, and those without a letter.
+
+    All columns are kept, whatever their names, and no text is shuffled. Repeated rows stay or go together. Where no
+    language can be learned every text goes; an empty table gives an empty result.
+    """
     net = train(docs)
 
     @F.pandas_udf("boolean")

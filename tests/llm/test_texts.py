@@ -215,6 +215,86 @@ def test_language_is_learned_from_the_allowed_rows(docs, odd, empty):
     assert language.keep_known(empty).collect() == []
 
 
+def test_an_id_of_many_rows_counts_once(spark):
+    """A language most of whose rows share one id is still learned from the others, of each of which one row is taken."""
+    rows = [(7, "the rain in " + prose(k, 30), "en") for k in range(3000)]
+    rows += [(100 + k, "the rain and the " + prose(k, 30), "en") for k in range(900)] + [(5000 + k, "ße üb öl " + prose(k, 30).upper(), "de") for k in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = Counter()
+    for r in language.sample(frame, 4, 2).collect():
+        counts[r.lang] += 1
+        assert r.doc_id == 7 or r.text in {t for d, t, _ in rows if d == r.doc_id}
+    allowed = Counter(lang for d, lang in {(d, lang) for d, _, lang in rows} if zlib.crc32(str(d).encode()) % 4 != 2)
+    assert counts == {lang: min(n, language.SAMPLE) for lang, n in allowed.items()}
+    assert language.train(frame).languages == ["de", "en"]
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    """Those of most documents are, each from fewer documents."""
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    monkeypatch.setattr(language, "ROOM", 10 * language.PIECES)
+    rows = [(100 * n + k, f"word {n} {k}", lang) for n, lang in enumerate(("a", "b", "c", "d")) for k in range(20 * (n + 1))]
+    got = Counter(r.lang for r in language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4, 2).collect())
+    assert got == {"c": 5, "d": 5}
+
+
+def small_network():
+    rng = np.random.default_rng(8)
+    n, wide = 5, max(language.WIDTHS)
+    shapes = {"vectors": (256, 3), "filters": (wide * 3, n), "bias": (n,), "out": (n, 3), "offset": (3,)}
+    return language.Network(["a", "b", "c"], *(rng.normal(size=shapes[k]) for k in language.WEIGHTS))
+
+
+def slow_forward(net, window):
+    """Scores of one window, place by place and filter by filter."""
+    wide, size = max(language.WIDTHS), net.vectors.shape[1]
+    raw = window.ljust(language.WINDOW, b"\0")
+    h = []
+    for f in range(net.filters.shape[1]):
+        best = max(sum(net.vectors[raw[at + k]][v] * net.filters[k * size + v][f] for k in range(wide) for v in range(size)) for at in range(language.WINDOW - wide + 1))
+        h.append(max(0.0, best + net.bias[f]))
+    z = [sum(h[f] * net.out[f][k] for f in range(len(h))) + net.offset[k] for k in range(len(net.languages))]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_the_network_equals_a_slow_forward_pass():
+    net, texts = small_network(), [prose(1, 60), "kürz", "x", "", None, "12 !", prose(2, 4)]
+    windows = [w for t in texts if t for w in language.cut_up(t)]
+    assert np.allclose(net.probabilities(language.as_array(windows)), [slow_forward(net, w) for w in windows])
+    name, score = net.judge(texts)
+    for t, n, s in zip(texts, name, score):
+        if not t or not any(c.isalpha() for c in t):
+            assert (n, s) == ("und", 0.0)
+            continue
+        raw = t.lower().encode()
+        parts = [raw[i : i + language.WINDOW] for i in range(0, len(raw), language.WINDOW)]
+        assert b"".join(parts) == raw  # whole texts
+        p = sum(np.array(slow_forward(net, w)) * len(w) for w in parts) / len(raw)
+        assert n == net.languages[int(p.argmax())] and math.isclose(s, p.max())
+
+
+def test_gradients_equal_differences():
+    net, rng = small_network(), np.random.default_rng(9)
+    windows = language.as_array([prose(k, 12).encode() for k in range(6)])
+    labels = np.array([0, 1, 2, 0, 1, 2])
+    _, grads = net.gradients(windows, labels)
+    seen = np.unique(windows)
+    for k in language.WEIGHTS:
+        w = getattr(net, k)
+        for _ in range(12):
+            at = tuple(int(rng.integers(n)) for n in w.shape)
+            if k == "vectors":
+                at = (int(rng.choice(seen)), at[1])
+            was, step = w[at], 1e-6
+            w[at] = was + step
+            high = net.gradients(windows, labels)[0]
+            w[at] = was - step
+            low = net.gradients(windows, labels)[0]
+            w[at] = was
+            assert math.isclose(grads[k][at], (high - low) / (2 * step), rel_tol=1e-3, abs_tol=1e-6), (k, at)
+
+
 def toxic_docs(spark):
     rows, labels = [], []
     for i in range(240):

@@ -146,6 +146,37 @@ def test_lattice_equals_brute_force(spark, hot, monkeypatch):
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter(expected)
 
 
+@pytest.mark.parametrize(("kind", "label", "cell"), [("float", "int", 0.35), ("double", "string", 0.35), ("float", "string", 0.2), ("double", "double", 0.5)])
+def test_lattice_finds_every_link_of_many_vectors(spark, kind, label, cell):
+    """Groups from tight to loose among others, in vectors and labels of any type: counts and groups equal brute force."""
+    rng = np.random.default_rng(6)
+    dims, x, labels = 20, [], []
+    for g in range(60):
+        center = rng.normal(size=dims)
+        for _ in range(int(rng.integers(1, 25))):
+            noise = rng.normal(size=dims)
+            x.append((center / np.linalg.norm(center) + rng.choice([0.01, 0.08, 0.16, 0.25]) * noise / np.linalg.norm(noise)) * rng.choice([1, 30]))
+            labels.append(g % 3)
+    x = np.float32(x).astype(float) if kind == "float" else np.array(x)
+    frame = spark.createDataFrame([(k, v.tolist(), str(n)) for k, (v, n) in enumerate(zip(x, labels))], f"vec_id long, embedding array<{kind}>, label string").selectExpr("*", f"cast(label as {label}) as l").drop("label").withColumnRenamed("l", "label")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.98) & (np.array(labels)[:, None] == np.array(labels)) & ~np.eye(len(x), dtype=bool)
+    root = simhash._roots(len(x), *np.nonzero(linked))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.link_vectors(frame, cell=cell).collect()}
+    assert got == {k: (int(linked[k].sum()), int(root[k])) for k in range(len(x))}
+    assert linked.sum() > 500
+
+
+def test_lattice_takes_vectors_of_whole_numbers_and_refuses_too_wide_ones(spark):
+    frame = spark.createDataFrame([(1, [1, 2], "a"), (2, [2, 4], "a"), (3, [4, 2], "a")], "vec_id long, embedding array<int>, label string")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in lattice.link_vectors(frame).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    with pytest.raises(ValueError, match="8193 dimensions"):
+        import pyarrow as pa
+
+        wide = pa.RecordBatch.from_pydict({"label": pa.array([1]), "node": pa.array([1]), "embedding": pa.array([[1.0] * 8193])})
+        list(lattice._placer(lattice.Lattice(0.98, 0.35, 7), True)([wide]))
+
+
 def test_lattice_links_cells_of_squared_norm_8(spark):
     """Two vectors of cosine 0.95 near the shallow holes between two such cells, beside vectors of other lengths."""
     apart = np.array([2.0, 1, 1, 1, 1, 0, 0, 0])

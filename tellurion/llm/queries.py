@@ -78,8 +78,8 @@ WITH b AS (
     SELECT page_id, url, list_transform(
         regexp_split_to_array(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''), '</?(?:p|h1)>'),
         lambda x: trim(regexp_replace(
-            replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
-                '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+                '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks
     FROM pages
 )
 SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text,

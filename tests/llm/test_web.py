@@ -1,3 +1,6 @@
+import random
+import time
+
 import duckdb
 import pytest
 
@@ -53,9 +56,48 @@ def test_names_of_topics_outside_an_article():
         assert pages.Page(f'<div class="c1">{body}{part}</div>').extract(None) == ("word " * 40).strip(), part
 
 
+NAMES = ["page-footer", "sidebar-content", "comment-body", "cookie-text", "ad-content", "main-menu", "footer-text", "nav-main", "content-sidebar", "login-body", "post-comments", "story-share-buttons share"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_word_for_content_saves_no_boilerplate(name):
+    """Beside a headed text, more or less of it."""
+    for n in (3, 60):
+        part = f'<div class="{name}"><p>{"other " * n}</p></div>'
+        for source in (f'<div class="c1"><h1>Head</h1><p>{"word " * 40}</p></div>{part}', f'{part}<div class="c1"><h2>Head</h2><p>{"word " * 40}</p></div>'):
+            assert pages.Page(source).extract(None) == "Head\n" + ("word " * 40).strip(), (name, n)
+
+
+def test_layout_names_condemn_nothing():
+    for name in ("layout-has-sidebar content", "no-sidebar", "content-with-sidebar", "sidebar-right-layout"):
+        assert pages.Page(f'<div class="{name}"><h1>Head</h1><p>Text of it.</p></div><div class="sidebar">Side</div>').extract(None) == "Head\nText of it.", name
+    assert pages.Page('<div class="sidebar"><p>All that there is.</p></div>').extract(None) == "All that there is."
+    assert pages.Page('<form id="aspnet"><div><h1>Head</h1><p>Text in a form around the page.</p><input><select><option>x</select></div></form>').extract(None) == "Head\nText in a form around the page."
+    assert pages.Page('<p>Text</p><div data-class="ad" title="class=ad"><p>more</p></div>').extract(None) == "Text\nmore"
+
+
+HOSTILE = ["<div>", "<b>", "<p>x", "<ul><li>", "<table><tr><td>z", '<a "', "<!-", "</i>", '<div class="sidebar">x', "<h1>", '<div class="']
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_time_is_linear_in_a_page(part):
+    def seconds(n):
+        began = time.process_time()
+        pages.Page("<b>" * n + part * n + "y").extract(None)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 3 * min(seconds(20_000), seconds(20_000)) + 0.3
+    began = time.process_time()
+    pages.Page(part * 100_000)
+    assert time.process_time() - began < 5
+
+
 def test_broken_and_bare_pages():
     for source, text in ((None, ""), ("", ""), ("plain", "plain"), ("<p>a", "a"), ('<a title="x>y">z</a>', "z"), ("a<b c", "a<b c"), ("<!-- c", ""), ("<script>x", ""), ("<p>" + "w " * 50_000, ("w " * 50_000).strip())):
         assert pages.Page(source).extract(None) == text
+    for source, text in (("<p>a</p><3 all", "a\n<3 all"), ("<p>a</p>b <", "a\nb <"), ("<p>a</p>b <div class=x", "a\nb"), ("<p>a</p>b <!-- c", "a\nb"), ("<p>a</p></p", "a"), ("<p>a</p><script>x", "a"), ("<p>a</p><!--> b", "a\nb"), ("<p>a</p><!--->b<!--!> c", "a\nb"), ("<p>a<!-- > b -->c", "ac"), ("<script>a > b", "")):
+        assert pages.Page(source).extract(None) == text, source
 
 
 def test_pages_of_a_host_agree(spark):
@@ -74,6 +116,40 @@ def test_pages_of_a_host_agree(spark):
     assert pages.extract(frame.limit(0)).collect() == []
 
 
+def site(rng, host, n):
+    """[(url, html, text)] of pages without an article element, of one template of neutral names: what repeats is boilerplate, what varies is text."""
+
+    def say(k):
+        return " ".join(rng.choice(["river", "stone", "market", "window", "letter", "winter"]) + str(rng.randrange(1000)) for _ in range(k))
+
+    name = [f"k{rng.randrange(10**6)}x" for _ in range(6)]
+    top, side, note, bottom = (say(rng.randrange(4, 30)) for _ in range(4))
+    out = []
+    for k in range(n):
+        blocks = [say(6), *(say(rng.randrange(8, 40)) for _ in range(rng.randrange(3, 8)))]
+        body = "".join(f"<p>{b}</p>" for b in blocks[1:])
+        html = f"""<html><body><div class="{name[0]}">{top}</div><div class="{name[1]}"><div class="{name[2]} n{k}"><h2>{blocks[0]}</h2>{body}<div class="{name[3]}"><p>{note}</p></div></div>
+        <div class="{name[4]}"><p>{side}</p></div></div><div class="{name[5]}"><p>{bottom} <a href="/{k}">{k}</a></p></div></body></html>"""
+        out.append((f"http://{host}/{k}", html, "\n".join(blocks)))
+    return out
+
+
+def test_the_pages_of_a_host_tell_text_from_boilerplate(spark):
+    """Pages of neutral names, without an article: the text is found whole and alone, on hosts of few and of many pages, copies or not."""
+    rng = random.Random(4)
+    made = [p for k, n in enumerate((5, 8, 30)) for p in site(rng, f"h{k}.example", n)]
+    made += [made[0]] * 40  # copies of a page prove nothing
+    got = pages.extract(spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(made)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: text for k, (_, _, text) in enumerate(made)}
+
+
+def test_near_copies_of_a_page_keep_their_text(spark):
+    paragraphs = [f"Paragraph {k} of a text that stands on many pages." for k in range(6)]
+    rows = [(k, f"http://copies.example/{k}", f"<article><h1>Title</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}<p>Only here: {k}</p></article>") for k in range(12)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: "\n".join(["Title", *paragraphs, f"Only here: {k}"]) for k in range(12)}
+
+
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 

@@ -65,8 +65,8 @@ SCOPES = frozenset("table ul ol dl body article main section div td".split())
 BOUNDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)} | dict.fromkeys(("tr", "td", "th", "tbody", "tfoot"), ("table",))
 
 _TAG = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    r"|<(?P<raw>script|style|textarea|title|iframe|noframes|noembed|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|(?P<open>\Z)))"
+    r"|<(?P<raw>script|style|textarea|title|iframe|noframes|noembed|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|(?P<open2>\Z))"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!?][^>]*(?:>|\Z)|</[^>]*>",
@@ -192,7 +192,7 @@ class Page:
             if not name:
                 if m["raw"] and m["raw"].lower() not in ("script", "style"):
                     self.parts.append(" ")
-                if at == limit and self._open_ended(m):
+                if m["open"] is not None or m["open2"] is not None:
                     at = len(source)
             elif m["end"] or m["end2"]:
                 self._end(name)
@@ -206,13 +206,6 @@ class Page:
         stack.pop_to(1, self.count, len(self.blocks))
         self.root.end, self.root.last = self.count, len(self.blocks)
 
-    @staticmethod
-    def _open_ended(m: re.Match) -> bool:
-        """True for a comment or an element of raw text that nothing ends."""
-        if m["raw"]:
-            return re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I) is None
-        return m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>"))
-
     def _text(self, raw: str) -> None:
         if not self.stack.nodes[-1].junk:
             self.parts.append(raw)

@@ -39,6 +39,8 @@ LATIN = "\u0250"
 #: The letters in which byte-level models write bytes: printable ones for themselves, the others from U+0100 on, in order.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+#: Texts by which tokenizers are told apart that keep case, white space, accents, or stops and line feeds with what is beside them.
+TEXTS = ("Hello World. Foo", "a b  c", " a", "a ", "A, b.\n\tc d.", "x\u00a0y z", "don't stop. It's I'LL", "3.14, 1,000. x1y2", "ÄÖÜ é e\u0301", "a...b ,c.", "\u4e2d\u6587 \u3042", "the the\n\n\nthe", "https://a.b/c?d=e, f_g", "\u2028a\x85b \x1c c", "\ud83d\ude00 x\u200by".encode("utf-16", "surrogatepass").decode("utf-16"), "<|x|> [INST] <s>", "#hash @at $5.", "")
 PROBES = ("a", "the", "unlikeliest", "straße", "éàüñçœ", "zzqqxxjjkk", "ſłøđ")
 
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
@@ -53,12 +55,12 @@ class Words:
     before it is split, which leaves fewer different words. Each is encoded once; the ids are in one flat array.
 
     A word of Latin letters alone goes through the tokenizer's normalisation and splitting unchanged, so the byte-pair
-    model takes it directly, in the letters that stand for its bytes; that this tokenizer is of that kind is tried out
-    first.
+    model takes it directly, in the letters that stand for its bytes. That a tokenizer is of that kind is tried out first:
+    one that keeps case or white space, or whose special strings reach over it, is given whole texts instead.
     """
 
-    def __init__(self, path: str, remember: int = REMEMBERED):
-        self.remember = remember
+    def __init__(self, path: str, remember: int = REMEMBERED, end: int = END):
+        self.remember, self.end = remember, end
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,11 +70,24 @@ class Words:
         self.mark_id = self.tokenizer.token_to_id(self.mark) if special else None
         self.model = self.tokenizer.model
         self.direct = type(self.model).__name__ == "BPE" and all(self._whole(w) == self._letters(w) for w in PROBES)
+        self._clear()
+        self.apart = self._try()
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start, self.size, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
+    def _try(self) -> bool:
+        """True if the words' ids in turn are those of the whole, for texts that tell tokenizers apart."""
+        self.apart = True
+        try:
+            return all(self.encode(t)[:-1].tolist() == self._whole(t) for t in (*PROBES, *TEXTS))
+        except ValueError:
+            return False
+
     def forget(self) -> None:
         """Keeps the words that came up most, up to half of what fits."""
         n = len(self.known)
@@ -138,6 +153,8 @@ class Words:
     def encode(self, text: str | bytes) -> np.ndarray:
         """The ids of a text, or of its UTF-8, and the end id."""
         raw = text.encode() if isinstance(text, str) else text
+        if not self.apart:
+            return np.array([*self._whole(raw.decode()), self.end], np.uint32)
         words = (raw if b"<|" in raw else _STOP.sub(rb" \1", raw.lower())).split()
         if len(self.known) > self.remember:
             self.forget()
@@ -152,7 +169,7 @@ class Words:
         total = int(ends[-1]) if len(ends) else 0
         out = np.empty(total + 1, np.uint32)
         out[:total] = self.ids[np.arange(total) + np.repeat(self.start[at] - ends + size, size)]
-        out[total] = END
+        out[total] = self.end
         return out
 
 
@@ -217,9 +234,9 @@ class Bins:
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packer(path: str, with_ids: bool, remember: int):
+def _packer(path: str, with_ids: bool, remember: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bins = remembered(("words", path, remember), lambda: Words(path, remember)), Bins()
+        words, bins = remembered(("words", path, remember, end), lambda: Words(path, remember, end)), Bins()
         base = TaskContext.get().partitionId() << 40
 
         def rows() -> pa.RecordBatch:
@@ -250,13 +267,13 @@ def _packer(path: str, with_ids: bool, remember: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False, remember: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False, remember: int = REMEMBERED, end: int = END) -> DataFrame:
     """One row per piece of each document of ``docs`` (doc_id, text), packed into sequences of at most CAPACITY tokens.
 
-    ``tokenizer`` is the path of a tokenizers file that drops white space. A document's tokens are the ids of its text,
-    without special tokens added, and END; a null text counts as empty. Each token lies in exactly one piece, pieces
+    ``tokenizer`` is the path of a tokenizers file. A document's tokens are the ids of its text, without special tokens
+    added, and ``end``; a null text counts as empty. Each token lies in exactly one piece, pieces
     of a sequence follow one another from offset 0, and every sequence is either full or a power of two long. A null
     or repeated doc_id is packed like any other. ``with_ids`` adds the piece's ids; ``remember`` trades a worker's
     memory for time. Other columns are ignored; an empty table gives an empty result.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packer(tokenizer, with_ids, remember), OUT + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packer(tokenizer, with_ids, remember, end), OUT + (", ids array<int>" if with_ids else ""))

@@ -27,7 +27,7 @@ MOST = 2
 BINS = 4096
 #: Bytes up to which the table of sources is sent to all tasks.
 BROADCAST = 8 << 20
-STEPS = 60
+STEPS, TOGETHER = 100, 5
 TOLERANCE = 1e-9
 
 
@@ -53,30 +53,49 @@ def rate(size: Column) -> Column:
     return F.when(F.col("target") >= MOST * F.col("source_size"), F.lit(float(MOST))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.lit(float(MOST)) / (1 + (MOST - 1) * e))
 
 
-def solve(counts: DataFrame, state: DataFrame) -> DataFrame:
-    """``state`` (source, source_size, target) with scale and tilt, by Newton iterations over ``counts`` (source, size, n)."""
-    typical = counts.groupBy(F.col("source").alias("s")).agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
-    state = state.join(typical, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+def _step(counts: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    """``state`` after one Newton step, from one sum over ``counts``; nothing in it but this sum reads the state, so that steps chain."""
+    size, n = F.col("size").cast("double"), F.col("n").cast("double")
+    r = rate(size)
+    held = F.broadcast(state) if small else state
+    sums = counts.withColumnRenamed("source", "s").join(held, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(
+        F.sum(n * size * r).alias("g"),
+        F.sum(n * size * size / F.col("scale") * r * (1 - r / MOST)).alias("h"),
+        *(F.max(c).alias(c) for c in ("source_size", "target", "scale", "tilt", "low", "high")),
+    )
     inf = float("inf")
-    state = cut(state.select("source", "source_size", "target", F.coalesce("scale", F.lit(1.0)).alias("scale"), F.lit(0.0).alias("tilt"), F.lit(-inf).alias("low"), F.lit(inf).alias("high"), F.lit(inf).alias("off")))
-    for _ in range(STEPS):
-        r = rate(F.col("size"))
-        sums = counts.withColumnRenamed("source", "s").join(_held(state), F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
-            F.sum(F.col("n") * F.col("size") * r).alias("g"),
-            F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("scale") * r * (1 - r / MOST)).alias("h"),
-        )
-        state = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-        state = state.withColumn("off", F.coalesce(F.abs(F.col("g") - F.col("target")) / F.greatest("target", F.lit(1.0)), F.lit(0.0)))
-        state = state.withColumn("low", F.when(F.col("g") < F.col("target"), F.greatest("low", "tilt")).otherwise(F.col("low")))
-        state = state.withColumn("high", F.when(F.col("g") > F.col("target"), F.least("high", "tilt")).otherwise(F.col("high")))
-        step = F.col("tilt") - (F.col("g") - F.col("target")) / F.greatest("h", F.lit(1e-300))
-        wide = F.when(F.col("low") == -inf, 2 * F.col("tilt") - 1).when(F.col("high") == inf, 2 * F.col("tilt") + 1).otherwise((F.col("low") + F.col("high")) / 2)
-        sound = (step > F.col("low")) & (step < F.col("high")) & (F.abs(step) <= 2 * F.abs(F.col("tilt")) + 4)
-        done = (F.col("off") <= TOLERANCE) | F.col("h").isNull()
-        state = cut(state.withColumn("tilt", F.when(done, F.col("tilt")).when(sound, step).otherwise(wide)).drop("g", "h"))
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
+    state = sums.withColumn("off", F.abs(F.col("g") - F.col("target")) / F.greatest("target", F.lit(1.0)))
+    state = state.withColumn("low", F.when(F.col("g") < F.col("target"), F.greatest("low", "tilt")).otherwise(F.col("low")))
+    state = state.withColumn("high", F.when(F.col("g") > F.col("target"), F.least("high", "tilt")).otherwise(F.col("high")))
+    step = F.col("tilt") - (F.col("g") - F.col("target")) / F.greatest("h", F.lit(1e-300))
+    wide = F.when(F.col("low") == -inf, 2 * F.col("tilt") - 1).when(F.col("high") == inf, 2 * F.col("tilt") + 1).otherwise((F.col("low") + F.col("high")) / 2)
+    sound = (step > F.col("low")) & (step < F.col("high")) & (F.abs(step) <= 2 * F.abs(F.col("tilt")) + 4)
+    tilt = F.when(F.col("off") <= TOLERANCE, F.col("tilt")).when(sound, step).otherwise(wide)
+    return state.select("source", "source_size", "target", "scale", tilt.alias("tilt"), "low", "high", "off")
+
+
+def solve(counts: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    """``state`` (source, source_size, target) with scale and tilt, by Newton iterations over ``counts`` (source, size, n; size > 0).
+
+    TOGETHER steps are one job; after each, the state is written. RuntimeError if ``STEPS`` steps don't meet the targets.
+    """
+    size, n, inf = F.col("size").cast("double"), F.col("n").cast("double"), float("inf")
+    typical = counts.groupBy(F.col("source").alias("s")).agg((F.sum(n * size * size) / F.sum(n * size)).alias("scale"))
+    state = state.join(typical, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    state = cut(state.select("source", "source_size", "target", F.coalesce("scale", F.lit(1.0)).alias("scale")))
+    now = state.select("*", F.lit(0.0).alias("tilt"), F.lit(-inf).alias("low"), F.lit(inf).alias("high"))
+    for _ in range(0, STEPS, TOGETHER):
+        for _ in range(TOGETHER):
+            now = _step(counts, now, small)
+        now = cut(now)
+        off = now.agg(F.max("off")).first()[0] or 0.0
+        if off <= TOLERANCE:
             break
-    return state.select("source", "source_size", "target", "scale", "tilt")
+    else:
+        raise RuntimeError(f"after {STEPS} steps a source is still off its target by {off:.2g} of it")
+    tilts = now.select(F.col("source").alias("s"), "tilt")
+    both = state.join(F.broadcast(tilts) if small else tilts, F.col("source").eqNullSafe(F.col("s")), "left")  # sources without a word have none
+    return cut(both.select("source", "source_size", "target", "scale", F.coalesce("tilt", F.lit(0.0)).alias("tilt")))
 
 
 def _place(size: Column, draw: Column) -> Column:
@@ -86,9 +105,9 @@ def _place(size: Column, draw: Column) -> Column:
     return F.when((fraction > 0) & (size > 0), F.floor((draw - fraction + 1) / 2 * (BINS * BINS)).cast("long"))
 
 
-def round_off(rows: DataFrame, state: DataFrame) -> DataFrame:
+def round_off(rows: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     """``state`` with each source's shift: documents of ``rows`` (source, size, draw) placed below it get one copy more."""
-    at = rows.withColumnRenamed("source", "s").join(_held(state), F.col("source").eqNullSafe(F.col("s")))
+    at = rows.withColumnRenamed("source", "s").join(F.broadcast(state) if small else state, F.col("source").eqNullSafe(F.col("s")))
     at = at.select("source", "target", "size", F.floor(rate(F.col("size"))).alias("whole"), _place(F.col("size"), F.col("draw")).alias("place"))
     need = F.max("target") - F.sum(F.col("size") * F.col("whole"))
     needs = cut(at.groupBy(F.col("source").alias("s")).agg(need.alias("need")))
@@ -121,37 +140,44 @@ def draw(doc_id: str = "doc_id", text: str = "text") -> Column:
     return uniform(F.col(doc_id), F.xxhash64(text))
 
 
-def _held(sources: DataFrame) -> DataFrame:
-    """A table of a row per source, marked for broadcast if it is small: its size is counted, and larger ones are joined by shuffle."""
+def _small(sources: DataFrame) -> bool:
+    """True if a table of a row per source may be sent to all tasks: its size is counted, and larger ones are joined by shuffle."""
     n, size = sources.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
-    return F.broadcast(sources) if 128 * n + size <= BROADCAST else sources
+    return 128 * n + size <= BROADCAST
 
 
 def balance(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, state): (doc_id, source, size, draw) of all documents, and the sources with target, tilt and shift."""
+    """(rows, state): (doc_id, source, size, draw) of all documents, and the sources with target, tilt and shift, for broadcast if they are few."""
     rows = cut(docs.select("doc_id", "source", word_count("text").alias("size"), draw().alias("draw")))
     counts = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = cut(targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))))
-    return rows, round_off(rows, solve(counts.where("size > 0"), sources))
+    small = _small(sources)
+    state = round_off(rows, solve(counts.where("size > 0"), sources, small), small)
+    return rows, F.broadcast(state) if small else state
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, rate) of every row of ``docs`` (doc_id, text, source).
+    """(doc_id, source, size, source_size, target, taken, rate) of every row of ``docs`` (doc_id, text, source).
 
     size counts the words of the text (null: 0); taken is size times the copies that the mix takes, never more than
     MOST times size. Null is a source like any other, the last. Reruns agree: draws are hashes of doc_id and text, so
     identical rows are taken alike. Other columns are ignored; an empty table gives an empty result.
     """
     rows, state = balance(docs)
-    mixed = rows.withColumnRenamed("source", "s").join(_held(state), F.col("source").eqNullSafe(F.col("s")))
+    mixed = rows.withColumnRenamed("source", "s").join(state, F.col("source").eqNullSafe(F.col("s")))
     taken = copies(F.col("size"), F.col("draw")) * F.col("size")
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), rate(F.col("size")).alias("rate"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), rate(F.col("size")).alias("rate"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; all columns are kept. The texts aren't shuffled while the sources' table is small."""
+    """``docs`` with each row as often as the mix takes it, 0 to MOST times; all columns are kept, whatever their names.
+
+    A document without a word (null text) is taken once, or MOST times where its whole source is. A null source is one
+    like any other, the last. Reruns agree, and identical rows are taken alike. An empty table gives an empty result.
+    The texts aren't shuffled while the sources' table is small.
+    """
     _, state = balance(docs)
     both = as_rows(docs).select("row", F.col("row.source").alias("s"), word_count(F.col("row.text")).alias("size"), draw("row.doc_id", "row.text").alias("draw"))
-    both = both.join(_held(state), F.col("s").eqNullSafe(F.col("source")))
+    both = both.join(state, F.col("s").eqNullSafe(F.col("source")))
     n = copies(F.col("size"), F.col("draw")).cast("int")
     return both.select("row", n.alias("n")).where("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("row.*")

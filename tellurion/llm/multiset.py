@@ -13,6 +13,7 @@ inserted or deleted by adding or subtracting its vector alone. Two kinds of lane
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,33 +132,50 @@ class State:
         return float(min(1.0, max(0.0, a @ b / norm))) if norm else 0.0
 
 
-def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
-    """Each row's doc_id and text with a bucket and whether it is a guest there; read by descending (bucket, doc_id), each row's
-    next document follows it.
+def _buckets(rows: DataFrame, buckets: int) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, k) with a bucket from 0, and how many there may be: about equal stretches of (doc_id, k), nulls first.
 
-    Buckets are ranges of doc_id of about equal count. The first row of a bucket is a guest of the bucket before it too,
-    so that a bucket needs nothing else, and the very first is one of the last.
+    Ends are quantiles of doc_id. An id that spans several quantiles, and null, has buckets of its own, by ranges of k.a.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key("text").alias("k"))
-    ends = rows.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else None
-    ends = sorted({float(x) for x in ends or []})
-    bucket = F.lit(1.0)
-    if ends:
+    total, known, ends = rows.agg(F.count("*"), F.count("doc_id"), F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets)).first()
+    share = Counter(ends or [] if buckets > 1 else [])
+    hot = {x: n + 1 for x, n in share.items() if n > 1 and abs(x) < 1 << 52}  # exact as doubles
+    splits = sorted({float(x) for x in share} | {float(x + 1) for x in hot})
+    parts = [max(1, -(-(total - known) * buckets // max(1, total))), 1, *(hot.get(int(x), 1) for x in splits)]  # null, below the first end, then from each end on
+    if splits:
         from pyspark.ml.feature import Bucketizer
 
-        rows = Bucketizer(splits=[-float("inf"), *ends, float("inf")], inputCol="id", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("id", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))))
-        bucket = F.col("bucket") + 1
-    rows = rows.select("doc_id", "text", F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id", "k").alias("at"), F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).cast("int").alias("bucket"))
+        number = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="id", outputCol="number", handleInvalid="keep")
+        rows = number.transform(rows.withColumn("id", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))).drop("id")
+        stretch = F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("number").cast("int") + 1)
+    else:
+        stretch = F.col("doc_id").isNotNull().cast("int")
+    before = [sum(parts[:i]) for i in range(len(parts))]
+    first, n = (F.element_at(F.array(*map(F.lit, x)), F.col("stretch") + 1) for x in (before, parts))
+    within = F.floor((F.col("k.a").cast("double") / float(1 << 64) + 0.5) * F.col("n")).cast("int")
+    rows = rows.withColumn("stretch", stretch).withColumns({"first": first, "n": n})
+    return rows.withColumn("bucket", F.col("first") + F.least(within, F.col("n") - 1)).drop("stretch", "first", "n", "number"), sum(parts)
+
+
+def neighbours(docs: DataFrame, buckets: int) -> tuple[DataFrame, int]:
+    """Each row's doc_id and text with a bucket and whether it is a guest there; read by descending (bucket, doc_id), each row's
+    next document follows it. With the number of buckets.
+
+    The first row of a bucket is a guest of the bucket before it too, so that a bucket needs nothing else, and the very
+    first is one of the last.
+    """
+    rows, every = _buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key("text").alias("k")), buckets)
+    rows = rows.select("doc_id", "text", F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id", "k").alias("at"), "bucket")
     firsts = [tuple(r) for r in rows.groupBy("bucket").agg(F.max("at").alias("at")).orderBy(F.desc("bucket")).collect()]  # one a bucket
     if not firsts:
-        return rows.select("doc_id", "text", "at", "bucket", F.lit(False).alias("guest"))
+        return rows.select("doc_id", "text", "at", "bucket", F.lit(False).alias("guest")), every
     before = [firsts[-1][0], *(b for b, _ in firsts[:-1])]
     schema = rows.select("bucket", F.col("at").alias("first"), F.col("bucket").alias("host")).schema
     hosts = rows.sparkSession.createDataFrame([(b, at, h) for (b, at), h in zip(firsts, before)], schema)
     marked = rows.join(F.broadcast(hosts), "bucket")  # as many rows as buckets
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     places = F.when(F.col("at") == F.col("first"), F.array(own, F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    return marked.select("doc_id", "text", "at", F.explode(places).alias("p")).select("doc_id", "text", "at", "p.bucket", "p.guest")
+    return marked.select("doc_id", "text", "at", F.explode(places).alias("p")).select("doc_id", "text", "at", "p.bucket", "p.guest"), every
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -172,7 +190,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, bucket = text.as_py() or "", bucket.as_py()
             if guest.as_py() and (held is None or held[2] != bucket):
                 continue  # a second copy of the guest
-            state = State.of(text)
+            state = held[3] if held and held[1] == text else State.of(text)
             if held and held[2] == bucket:
                 out.append(_edit(*held, text, state))
             held = None if guest.as_py() else (doc_id.as_py(), text, bucket, state)
@@ -196,6 +214,6 @@ def fingerprint_documents(docs: DataFrame, buckets_per_partition: int = 4) -> Da
     ignored; an empty table gives an empty result. The texts are shuffled once.
     """
     n = partitions(docs.sparkSession)
-    rows = neighbours(docs, buckets_per_partition * n)
+    rows, every = neighbours(docs, buckets_per_partition * n)
     order = [F.desc("bucket"), F.asc("guest"), F.desc("at")]
-    return rows.repartition(n, "bucket").sortWithinPartitions(*order).select("doc_id", "text", "bucket", "guest").mapInArrow(_walk, _OUT)
+    return rows.repartitionById(n, F.floor(F.col("bucket") * n / every).cast("int")).sortWithinPartitions(*order).select("doc_id", "text", "bucket", "guest").mapInArrow(_walk, _OUT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, language, lattice, mixing, multiset, packing, pages, simhash, toxicity, urls
 from .common import table
@@ -93,7 +94,7 @@ def op8_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("passages", F.size("passages").cast("long"))
 
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]

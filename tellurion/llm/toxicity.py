@@ -7,9 +7,10 @@ proportion to its overall frequency; those that stand out by ``OUTSTANDING`` sta
 
 Scoring: a token scores the largest log-odds of its features in the lexicon; any other scores a little below zero, by
 how much rarer such tokens are in toxic documents. One linear scan (all maximal scoring subsequences) finds every
-toxic passage. A passage of score S among n tokens is expected K n e^(-lambda S) times in clean text, lambda and K
-following from the scores' distribution there. The best passage's normalised score, lambda S - ln(K n), gives a
-probability by a logistic curve fitted to the sample.
+toxic passage. The best passage of n tokens of clean text follows an extreme-value law, P(S < x) = exp(-K n e^(-lambda x)):
+lambda and K are fitted to the best passages of the sample's clean documents, each scored by a lexicon of the other half
+of the sample, which hasn't seen it. So a passage of score S is expected K n e^(-lambda S) times in clean text. The best
+passage's normalised score, lambda S - ln(K n), gives a probability by a logistic curve fitted to the same scores.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, learned_on, remembered
 
 #: Labelled documents of each class that the model is fitted on at most: those of smallest hash.
 SAMPLE = 2500
-#: Features that the lexicon holds at most: those that stand out most.
+#: Features that are learned at most: those that stand out most. Each stands in several of the sample's toxic documents.
 LEXICON = 20_000
+#: Documents of each class in each half of the sample, with fewer of which the halves aren't scored by one another.
+FOLD = 10
 OUTSTANDING = 3.0
 PRIOR = 10.0
 EDGES = (3, 4, 5, 6)
@@ -41,6 +44,9 @@ SIGNIFICANT = 0.05
 #: Words whose scores a worker remembers.
 REMEMBERED = 200_000
 
+#: Documents with a feature, clean (c) and toxic (t), in each half of the sample.
+COUNTS = ("c0", "c1", "t0", "t1")
+
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -79,8 +85,9 @@ class Model:
         at = np.flatnonzero(got > 0)
         return len(words), segments(at.tolist(), got[at].tolist(), self.other)
 
-    def normal(self, n: int, score: float) -> float:
-        return self.decay * score - np.log(self.scale * max(n, 1))
+    def normal(self, n, score):  # noqa: ANN001, ANN201
+        """lambda S - ln(K n), of numbers or arrays."""
+        return self.decay * score - np.log(self.scale * np.maximum(n, 1))
 
     def probability(self, x: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -40, 40))))
@@ -118,13 +125,13 @@ def labelled(labels: DataFrame, modulus: int, out: int) -> DataFrame:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, modulus: int, out: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most SAMPLE documents of each class, of those that may be learned from."""
+    """(text, toxic, half) of at most SAMPLE documents of each class, of those that may be learned from; near copies are in one half."""
     marked = labelled(labels, modulus, out)
     parts = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
     ids = cut(parts[0].unionByName(parts[1]))
     texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # 2 * SAMPLE ids
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
-    return cut(texts.mapInArrow(_keyed, "text string, toxic int, key long").dropDuplicates(["toxic", "key"]).select("text", "toxic"))
+    return cut(texts.mapInArrow(_keyed, "text string, toxic int, key long").dropDuplicates(["toxic", "key"]).select("text", "toxic", (F.col("key") % 2).cast("int").alias("half")))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,26 +146,48 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts: dict[str, list[int]] = {}
-        for text, label in zip(b.column("text"), b.column("toxic").to_pylist()):
+        for text, label, half in zip(b.column("text"), b.column("toxic").to_pylist(), b.column("half").to_pylist()):
             tokens = set(_TOKEN.findall((text.as_py() or "").lower()))
             for f in {f for t in tokens for f in features(t)}:
-                counts.setdefault(f, [0, 0])[label] += 1
-        cols = {"feature": pa.array(counts, pa.string())} | {n: pa.array([c[k] for c in counts.values()], pa.int64()) for k, n in enumerate(("clean", "toxic"))}
+                counts.setdefault(f, [0, 0, 0, 0])[2 * label + half] += 1
+        cols = {"feature": pa.array(counts, pa.string())} | {n: pa.array([c[k] for c in counts.values()], pa.int64()) for k, n in enumerate(COUNTS)}
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def _decay(values: np.ndarray, weight: np.ndarray, other: float) -> float:
-    """The positive root of E[e^(lambda s)] = 1 over the scores of clean tokens."""
-    low, high = 0.0, 50.0
-    rest = 1 - weight.sum()
-    for _ in range(100):
-        mid = (low + high) / 2
-        with np.errstate(over="ignore"):
-            if (weight * np.exp(mid * values)).sum() + rest * np.exp(mid * other) < 1:
-                low = mid
-            else:
-                high = mid
-    return max(low, 1e-3)
+def _odds(y0: Column, y1: Column, n0: int, n1: int) -> tuple[Column, Column]:
+    """Shrunk log-odds of a feature that stands in y0 of n0 clean and y1 of n1 toxic documents, and by how many standard deviations it stands out."""
+    if not n0 or not n1:
+        return F.lit(0.0), F.lit(0.0)
+    prior, half = F.lit(PRIOR) * (y0 + y1) / F.lit(float(n0 + n1)), F.lit(0.5)  # half of a document that hasn't the feature, even if all have it
+    odds = F.log((y1 + prior) / F.greatest(F.lit(n1 + PRIOR) - y1 - prior, half)) - F.log((y0 + prior) / F.greatest(F.lit(n0 + PRIOR) - y0 - prior, half))
+    seen = y0 + y1 > 0
+    return F.when(seen, odds).otherwise(0.0), F.when(seen, odds / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))).otherwise(0.0)
+
+
+def extremes(n: np.ndarray, best: np.ndarray) -> tuple[float, float]:
+    """(lambda, K) of the law that the best passages of clean texts of n words follow, by maximum likelihood.
+
+    A text without any passage says that its best is below the least of all. A weak prior draws lambda to 1, where scores
+    are log-odds as they should be; without texts both are 1.
+    """
+    if not len(n):
+        return 1.0, 1.0
+    n, hit = np.maximum(n, 1).astype(float), best > 0
+    found = np.where(hit, best, best[hit].min() if hit.any() else 1.0)
+    count = hit.sum() + 0.5
+
+    def rate(decay: float) -> float:
+        return count / (n * np.exp(-decay * found)).sum()
+
+    def likelihood(decay: float) -> float:
+        return count * (np.log(decay) + np.log(rate(decay))) - decay * best[hit].sum() + 5 * (np.log(decay) - decay)
+
+    low, high = np.log(0.02), np.log(20.0)
+    for _ in range(80):  # by golden sections of a single peak
+        a, b = high - 0.618 * (high - low), low + 0.618 * (high - low)
+        low, high = (a, high) if likelihood(np.exp(a)) < likelihood(np.exp(b)) else (low, b)
+    decay = float(np.exp((low + high) / 2))
+    return decay, float(rate(decay))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -183,21 +212,21 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, out: int = 0) ->
     Without labelled documents of both classes, it finds everything clean.
     """
     sample = _sample(docs, labels, modulus, out)
-    totals = sample.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
-    if not totals[0] or not totals[1]:
+    sizes = {(r["toxic"], r["half"]): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}
+    size = [[sizes.get((k, half), 0) for half in (0, 1)] for k in (0, 1)]
+    if not sum(size[0]) or not sum(size[1]):
         return Model()
-    n0, n1 = map(float, totals)
-    found = sample.mapInArrow(_document_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    y0, y1 = F.col("clean"), F.col("toxic")
-    prior = F.lit(PRIOR) * (y0 + y1) / F.lit(n0 + n1)
-    half = F.lit(0.5)  # of a document that hasn't the feature, even if all have it
-    odds = F.log((y1 + prior) / F.greatest(F.lit(n1 + PRIOR) - y1 - prior, half)) - F.log((y0 + prior) / F.greatest(F.lit(n0 + PRIOR) - y0 - prior, half))
-    found = found.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))).alias("z")).where(F.col("z") > OUTSTANDING)
-    rows = found.orderBy(F.desc("z"), "feature").limit(LEXICON).collect()
-    strong = [r for r in rows if r["odds"] > LEAST]
-    if not strong:
+    found = sample.mapInArrow(_document_counts, f"feature string, {', '.join(f'{c} long' for c in COUNTS)}").groupBy("feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    # of the whole sample, and of each half
+    parts = [_odds(F.col("c0") + F.col("c1"), F.col("t0") + F.col("t1"), sum(size[0]), sum(size[1])), *(_odds(F.col(f"c{k}"), F.col(f"t{k}"), size[0][k], size[1][k]) for k in (0, 1))]
+    strong = [F.when((z > OUTSTANDING) & (odds > LEAST), F.least(odds, F.lit(LARGEST))) for odds, z in parts]
+    found = found.select("feature", F.greatest(*(z for _, z in parts)).alias("z"), *(x.alias(n) for x, n in zip(strong, ("all", "half0", "half1"))))
+    rows = found.where(F.coalesce("all", "half0", "half1").isNotNull()).orderBy(F.desc("z"), "feature").limit(LEXICON).collect()
+    model = Model({r["feature"]: r["all"] for r in rows if r["all"] is not None})
+    if not model.lexicon:
         return Model()
-    model = Model({r["feature"]: min(LARGEST, r["odds"]) for r in strong})
+    apart = min(map(min, size)) >= FOLD
+    others = [{r["feature"]: r[f"half{1 - k}"] for r in rows if r[f"half{1 - k}"] is not None} if apart else model.lexicon for k in (0, 1)]
 
     # how often tokens of clean and toxic documents score what
     lexicon = dict(model.lexicon)
@@ -216,27 +245,28 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, out: int = 0) ->
     tallied = sample.mapInArrow(tally, "score double, clean long, toxic long").groupBy("score").agg(F.sum("clean"), F.sum("toxic")).collect()
     n0, n1 = (float(sum(r[k] for r in tallied)) for k in (1, 2))
     scores = [r for r in tallied if r[0] > 0]
-    values = np.array([r[0] for r in scores])
     clean = np.array([float(r[1]) for r in scores])
     toxic = np.array([float(r[2]) for r in scores])
     p0 = (clean + toxic / toxic.sum()) / (n0 + 1)  # one more token, dealt like the toxic ones
     p1 = min(0.5, toxic.sum() / n1)
     model.other = float(np.log((1 - p1) / (1 - min(p0.sum(), p1 / 2))))
-    model.decay = _decay(values, p0, model.other)
-    model.scale = float(p0.sum() * np.exp(model.decay * (values * toxic).sum() / toxic.sum()))
+    below = model.other
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        own, known = [Model(words, below) for words in others], ({}, {})
         for b in batches:
-            x = []
-            for text in b.column("text"):
-                n, found = model.passages(text.as_py(), known)
-                x.append(model.normal(n, max((s for *_, s in found), default=0.0)))
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.float64()), "toxic": b.column("toxic").cast(pa.int32())})
-
-    points = sample.select("text", F.col("toxic").cast("int")).mapInArrow(best, "x double, toxic int").collect()  # 2 * SAMPLE numbers
-    x, y = np.array([r[0] for r in points]), np.array([float(r[1]) for r in points])
-    share = labelled(labels, modulus, out).agg(F.avg("toxic")).first()[0]  # of toxic documents; the sample has its own
+            n, score = [], []
+            for text, half in zip(b.column("text"), b.column("half").to_pylist()):
+                size, got = own[half].passages(text.as_py(), known[half])
+                n.append(size)
+                score.append(max((s for *_, s in got), default=0.0))
+            yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64()), "score": pa.array(score, pa.float64()), "toxic": b.column("toxic")})
+
+    points = sample.mapInArrow(best, "n long, score double, toxic int").collect()  # 2 * SAMPLE numbers
+    n, top, y = (np.array([float(r[k]) for r in points]) for k in range(3))
+    model.decay, model.scale = extremes(n[y == 0], top[y == 0])
+    x = model.normal(n, top)
+    share = labelled(labels, modulus, out).agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0]  # of toxic documents; the sample has its own
     model.slope, model.intercept = _logistic(x, y, np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y))
     return model
 
@@ -267,14 +297,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, passages) of every row of ``docs``, by a model that learned from the others."""
+    """(doc_id, held_out, score, predicted, passages) of every row of ``docs`` (doc_id, text), by a model that learned from the others.
+
+    held_out is false for a null doc_id. Null texts count as empty; rows are kept whole, and repeated ones score alike;
+    where labels of a document contradict one another, it counts as toxic. An empty table gives an empty result.
+    Without labels of both classes every score is near 0. Other columns are ignored.
+    """
     scored = score(docs, train(docs, labels))
     held = F.coalesce(~learned_on("doc_id", 5, 0), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that score 0.5 or more; all columns are kept and no text is shuffled."""
+    """``docs`` without the documents that score 0.5 or more; all columns are kept, whatever their names, and no text is shuffled.
+
+    Null texts count as empty and stay; repeated rows stay or go together. Without labels of both classes all stay; an
+    empty table gives an empty result.
+    """
     model = train(docs, labels)
 
     @F.pandas_udf("boolean")

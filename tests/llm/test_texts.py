@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tellurion.llm import chat, language, mixing, multiset, packing, toxicity
+from tellurion.llm.common import text_key
 from tellurion.llm.queries import tokenizer_path
 
 from .conftest import prose
@@ -16,22 +17,86 @@ from .conftest import prose
 # ---- fingerprints
 
 
-def test_fingerprints_of_edited_texts(odd, empty):
-    rows = [(r.doc_id, r.text or "") for r in odd.collect()]
-    got = multiset.fingerprint_documents(odd).collect()
-    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((d, len(t)) for d, t in rows)
-    order = sorted((r for r in rows if r[0] is not None and r[0] != 12), reverse=True)
+def ring(frame):
+    """[(doc_id, text, next text)] by descending (doc_id, hash of the text), null ids last; the first follows the last."""
+    k = text_key("text")
+    rows = frame.select("doc_id", "text", k["a"].alias("a"), k["b"].alias("b")).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.a or 0, r.b or 0), reverse=True)
+    texts = [r.text or "" for r in rows]
+    return [(r.doc_id, t, following) for r, t, following in zip(rows, texts, texts[1:] + texts[:1])]
+
+
+def edited(text, following):
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+def told(doc_id, text, following):
+    states = [multiset.State.of(t) for t in (text, edited(text, following), following)]
+    return doc_id, len(text), hashlib.sha256(edited(text, following).encode()).hexdigest(), states[0].hex(), states[1].hex(), states[0].likeness(states[1]), states[0].likeness(states[2])
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_fingerprints_of_edited_texts(odd, empty, buckets):
+    """All rows, ties and repeated ones and null ids too."""
+    got = multiset.fingerprint_documents(odd, buckets).collect()
+    assert Counter(map(tuple, got)) == Counter(told(*r) for r in ring(odd))
     by_id = {r.doc_id: r for r in got}
-    for (d, t), (_, following) in zip(order, order[1:]):
-        if d == 1 or any(x in (d, d - 1) for x in (12, 13)):
-            continue
-        half = len(t) // 2
-        assert by_id[d].edited_sha256 == hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()
     assert by_id[1].fingerprint == by_id[2].fingerprint != by_id[3].fingerprint
     assert by_id[2].near_next == 1.0 and 0.9 < by_id[3].near_next < 1
     assert by_id[5].fingerprint == by_id[6].fingerprint
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    assert multiset.fingerprint_documents(empty).collect() == []
+    assert multiset.fingerprint_documents(empty, buckets).collect() == []
+
+
+def test_an_id_that_many_rows_share_is_split(spark):
+    """A third of all rows has one id, another no id: they are dealt to buckets by their texts, and the ring goes on through them."""
+    rows = [(5 if k % 3 == 0 else None if k % 3 == 1 else k, f"text {k}\n" * 3) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = multiset.fingerprint_documents(frame, 5).collect()
+    assert Counter(map(tuple, got)) == Counter(told(*r) for r in ring(frame))
+    dealt, n = multiset.neighbours(frame, 20)
+    most = max(r["count"] for r in dealt.groupBy("bucket").count().collect())
+    assert n >= 20 and most <= 3 * len(rows) / 20
+
+
+M64 = (1 << 64) - 1
+
+
+def slow_mix(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def slow_alike(text):
+    """The likeness lanes, run by run and bit by bit, in whole numbers."""
+    base, runs = int(multiset._BASE), []
+    for line in text.encode().split(b"\n"):
+        words = [slow_mix(sum(int(multiset._VALUES[c]) * pow(base, i, 1 << 64) for i, c in enumerate(w)) & M64) for w in line.split()]
+        for i in range(max(1, len(words) - multiset.RUN + 1) if words else 0):
+            part, h = words[i : i + multiset.RUN], 0 if len(words) >= multiset.RUN else len(words)
+            for w in part:
+                h = (h * base + w) & M64
+            runs.append(h)
+    lanes = [0] * multiset.ALIKE
+    for h in runs:
+        for s, stream in enumerate(multiset._STREAMS):
+            for k, byte in enumerate(slow_mix((h + int(stream)) & M64).to_bytes(8, "little")):
+                for bit in range(8):
+                    lanes[64 * s + 8 * k + bit] += 1 if byte >> (7 - bit) & 1 else -1
+    return lanes, len(runs)
+
+
+def test_likeness_equals_a_slow_count():
+    texts = ["", "one", "one two three four five", prose(4, 40), prose(4, 39) + " x", "a b\nc d e f g h\n\n i \t j\x0bk", "é 𝄞 ü\nß"]
+    for x in texts:
+        lanes, runs = slow_alike(x)
+        assert multiset.State.of(x).alike.tolist() == lanes and len(multiset._runs(x.encode())) == runs
+        for y in texts:
+            other, norm = slow_alike(y)[0], 0.0
+            norm = math.sqrt(sum(a * a for a in lanes) * sum(b * b for b in other))
+            cosine = sum(a * b for a, b in zip(lanes, other)) / norm if norm else 0.0
+            assert math.isclose(multiset.State.of(x).likeness(multiset.State.of(y)), 1.0 if x == y else min(1.0, max(0.0, cosine)), abs_tol=1e-12)
 
 
 @pytest.mark.parametrize("buckets", [1, 3])
@@ -108,13 +173,41 @@ def test_words_encode_as_whole_texts():
 
 
 def test_harmonic_bins_hold_a_fixed_count():
-    bins = packing.Bins(64)
-    for d in range(40):
-        bins.add(d, np.arange(30, dtype=np.uint32))  # class 2: two whole rests and a head of 4
-    closed = Counter(s for *_, s, _ in bins.rows)
-    assert closed and all(n >= 3 or n == 2 for n in closed.values())
-    bins.finish()
-    assert sum(len(ids) for _, _, ids, *_ in bins.rows) == 40 * 30
+    """A closed bin is full: as many whole rests of its class as the class says, and the head of another."""
+    rng = np.random.default_rng(3)
+    for sizes in ([30] * 40, rng.integers(1, 200, 300), [64, 32, 32, 128, 21, 21, 21, 22]):
+        bins = packing.Bins(64)
+        for d, n in enumerate(sizes):
+            bins.add(d, np.arange(n, dtype=np.uint32))
+        closed = defaultdict(list)
+        for _, start, ids, _, sequence, offset in bins.rows:
+            closed[sequence].append((offset, len(ids)))
+        assert closed
+        for own in closed.values():
+            lengths = [n for _, n in sorted(own)]
+            assert sum(lengths) == 64
+            k = min(64 // lengths[0], packing.LAST)
+            assert all(64 // n == k for n in lengths[:-1])
+            assert len(lengths) == k + 1 or (len(lengths) == k and 64 // lengths[-1] == k) or lengths == [64]
+        bins.finish()
+        assert sum(len(ids) for _, _, ids, *_ in bins.rows) == sum(sizes)
+        pieces = sorted((d, start, len(ids)) for d, start, ids, *_ in bins.rows)
+        assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(pieces, pieces[1:]))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_tokenizer_gets_its_own_ids(spark, name):
+    """One that keeps case and white space is given whole texts."""
+    path = public_tokenizers.path(name)
+    t, words = Tokenizer.from_file(path), packing.Words(path, end=9)
+    assert words.apart == (name == "word_bpe_49k.json")
+    for x in (*packing.TEXTS, "Hello World. Foo", "a b  c", prose(7, 300), "MIXED Case, é. \n\n x", "<|endoftext|> y"):
+        assert words.encode(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 9]
+    frame = spark.createDataFrame([(1, "Hello World. Foo\n a  b"), (2, None)], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in sorted(packing.pack(frame, path, with_ids=True, end=9).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] += r.ids
+    assert got == {1: [*t.encode("Hello World. Foo\n a  b", add_special_tokens=False).ids, 9], 2: [9]}
 
 
 # ---- mixing
@@ -137,28 +230,59 @@ def water(sizes):
     return target
 
 
-def test_mixing_meets_targets(docs, odd, empty):
-    for frame, near in ((docs, 0.25), (odd, None)):
-        given = {(r.doc_id, r.text): r.source for r in frame.collect()}
-        got = mixing.mix_report(frame).collect()
-        assert len(got) == frame.count()
-        sizes = defaultdict(int)
-        for r in frame.collect():
-            sizes[r.source] += len((r.text or "").encode().split())
-        assert all(0 <= r.taken <= 2 * r["size"] for r in got)
-        expected = water(dict(sizes))
-        taken, target = defaultdict(int), {}
-        by_id = {d: s for (d, _), s in given.items()}
-        for r in got:
-            taken[by_id[r.doc_id]] += r.taken
-            target[by_id[r.doc_id]] = r.target
-            assert r.source_size in sizes.values()
-        for s, t in target.items():
-            assert math.isclose(t, expected[s], rel_tol=1e-9, abs_tol=1e-6) or frame is odd
-            if near and expected[s] > 5000:
-                assert abs(taken[s] - t) <= near * t
-        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_report(frame).collect()), key=str)
+def slow_rates(sizes, target):
+    """{size: rate} of one source's documents: the tilt is found by halving."""
+    total, scale = sum(sizes), sum(n * n for n in sizes) / max(1, sum(sizes))
+    if target >= mixing.MOST * total:
+        return dict.fromkeys(sizes, float(mixing.MOST))
+    rates = lambda tilt: {n: mixing.MOST / (1 + (mixing.MOST - 1) * math.exp(min(700.0, -tilt * n / scale))) for n in sizes}
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        tilt = (low + high) / 2
+        r = rates(tilt)
+        low, high = (tilt, high) if sum(n * r[n] for n in sizes) < target else (low, tilt)
+    return rates((low + high) / 2)
+
+
+def mixture(spark):
+    """Many short documents of four sources, of which one is hot and one null."""
+    rng = np.random.default_rng(12)
+    rows = [(k, "w " * int(rng.integers(1, 60)), ["a", "b", None, "c"][int(rng.choice(4, p=[0.6, 0.2, 0.1, 0.1]))]) for k in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "many"])
+def test_mixing_meets_targets(table, spark, request):
+    frame = mixture(spark) if table == "many" else request.getfixturevalue(table)
+    got = mixing.mix_report(frame).collect()
+    sizes = defaultdict(list)
+    for r in frame.collect():
+        sizes[r.source].append(len((r.text or "").encode().split()))
+    assert Counter((r.doc_id, r.source, r["size"]) for r in got) == Counter((r.doc_id, r.source, len((r.text or "").encode().split())) for r in frame.collect())
+    expected = water({s: sum(n) for s, n in sizes.items()})
+    for s, own in sizes.items():
+        rows = [r for r in got if r.source == s]
+        assert all(r.source_size == sum(own) and math.isclose(r.target, expected[s], rel_tol=1e-9, abs_tol=1e-6) for r in rows)
+        rates = slow_rates(own, expected[s])
+        for r in rows:
+            assert math.isclose(r.rate, rates[r["size"]], rel_tol=1e-5, abs_tol=1e-7)
+            if r["size"]:
+                assert r.taken % r["size"] == 0 and math.floor(r.rate) <= r.taken // r["size"] <= min(mixing.MOST, math.floor(r.rate) + 1)
+        taken, largest = sum(r.taken for r in rows), max(own)
+        assert abs(taken - expected[s]) <= (0.01 * expected[s] if table == "many" else largest / 2 + 1e-6 if table == "docs" else 2 * largest)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_report(frame).collect()), key=str)
+
+
+def test_mixing_takes_empty_tables_huge_texts_and_says_where_it_fails(spark, empty, monkeypatch):
     assert mixing.mix_report(empty).collect() == []
+    huge = spark.createDataFrame([("a", 3 * 10**9, 4), ("a", 10, 4)], "source string, size long, n long")
+    state = spark.createDataFrame([("a", 12 * 10**9 + 40, 1.5e10), ("b", 0, 0.0)], "source string, source_size long, target double")
+    got = {r.source: r for r in mixing.solve(huge, state, True).collect()}
+    assert got["b"].tilt == 0.0 and math.isclose(4 * 3e9 * 2 / (1 + math.exp(-got["a"].tilt * 3e9 / got["a"].scale)), 1.5e10, rel_tol=1e-6)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    monkeypatch.setattr(mixing, "TOGETHER", 1)
+    with pytest.raises(RuntimeError, match="off its target"):
+        mixing.solve(huge, state, True)
 
 
 def test_mix_repeats_rows_as_reported(docs):
@@ -323,6 +447,57 @@ def test_toxic_documents_are_found(spark, odd, empty):
     assert toxicity.keep_clean(odd, labels).columns == odd.columns
 
 
+def test_toxicity_holds_on_documents_that_it_has_not_seen(spark):
+    """Held-out labelled rows of the supplied table: most are right, and of the clean ones about as many have a significant passage as is said."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    got = [r for r in toxicity.report(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").repartition(4), labels).where("held_out").collect() if r.doc_id in truth]
+    toxic, clean = ([r for r in got if truth[r.doc_id] == k] for k in (1, 0))
+    assert len(toxic) > 50 and len(clean) > 500
+    assert sum(r.predicted for r in toxic) > 0.9 * len(toxic) and sum(r.predicted for r in clean) < 0.02 * len(clean)
+    assert sum(len(r.passages) > 0 for r in clean) < 3 * toxicity.SIGNIFICANT * len(clean)
+    assert all(p.expected <= toxicity.SIGNIFICANT and p.start < p.end for r in got for p in r.passages)
+
+
+def test_the_lexicon_equals_a_slow_count(spark):
+    docs, labels = toxic_docs(spark)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    n, counts = Counter(), {}
+    for r in docs.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5:
+            n[truth[r.doc_id]] += 1
+            for f in {f for w in r.text.lower().split() for f in toxicity.features(w)}:
+                counts.setdefault(f, Counter())[truth[r.doc_id]] += 1
+    expected = {}
+    for f, c in counts.items():
+        prior = toxicity.PRIOR * (c[0] + c[1]) / (n[0] + n[1])
+        odds = math.log((c[1] + prior) / max(0.5, n[1] + toxicity.PRIOR - c[1] - prior)) - math.log((c[0] + prior) / max(0.5, n[0] + toxicity.PRIOR - c[0] - prior))
+        if odds > toxicity.LEAST and odds / math.sqrt(1 / (c[1] + prior) + 1 / (c[0] + prior)) > toxicity.OUTSTANDING:
+            expected[f] = min(odds, toxicity.LARGEST)
+    got = toxicity.train(docs, labels).lexicon
+    assert expected and got.keys() == expected.keys()
+    assert all(math.isclose(got[f], x, rel_tol=1e-9) for f, x in expected.items())
+
+
+@pytest.mark.parametrize(("decay", "scale"), [(1.0, 0.01), (1.6, 0.1), (0.6, 0.5)])
+def test_extreme_values_are_fitted(decay, scale):
+    """To best passages drawn from the law itself; no point of a grid is likelier."""
+    rng = np.random.default_rng(2)
+    n = rng.integers(5, 2000, 4000)
+    best = (np.log(scale * n) - np.log(-np.log(rng.random(len(n))))) / decay
+    best = np.where(best < 0.8, 0.0, best)  # no passage
+    got = toxicity.extremes(n, best)
+    assert math.isclose(got[0], decay, rel_tol=0.1) and math.isclose(got[1], scale, rel_tol=0.3)
+
+    def likelihood(decay, scale):
+        hit, least = best > 0, best[best > 0].min()
+        found = np.where(hit, best, least)
+        return (np.log(decay * scale * n[hit]) - decay * best[hit]).sum() - (scale * n * np.exp(-decay * found)).sum() + 5 * (np.log(decay) - decay)
+
+    assert likelihood(*got) >= max(likelihood(got[0] * a, got[1] * b) for a in np.linspace(0.7, 1.4, 15) for b in np.linspace(0.5, 2, 16)) - 1e-2
+    assert all(np.isfinite(toxicity.extremes(np.array(n), np.array(s))).all() for n, s in (([], []), ([0], [0.0]), ([5, 9], [0.0, 0.0]), ([4], [2.0])))
+
+
 def brute_segments(scores):
     """All maximal scoring subsequences by their recursive definition."""
     best, at = 0.0, None

@@ -7,7 +7,7 @@ Rates: of all rates in [0, MOST], those nearest to 1 in (two-sided) entropy that
 exponential tilts by document size, r = MOST e^(lambda z) / (MOST - 1 + e^(lambda z)), z being the size over the
 source's typical size. lambda is the optimum of the convex dual, one for each source. Newton iterations find it: each
 sums gradient and curvature over the counts by (source, size), which hold no more than one row for each size that a
-source has, and steps inside a bracket.
+source has, and steps inside a bracket. The sums are exact, so that reruns agree to the last bit.
 
 Copies: a document gets floor(r) copies, and one more if a uniform hash of it lies below r's fraction, moved by a
 source-wide shift. The shift is the weighted quantile at which the copies' tokens meet the target, found to 24 bits
@@ -53,14 +53,19 @@ def rate(size: Column) -> Column:
     return F.when(F.col("target") >= MOST * F.col("source_size"), F.lit(float(MOST))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.lit(float(MOST)) / (1 + (MOST - 1) * e))
 
 
+def exact_sum(terms: Column, digits: int = 10) -> Column:
+    """A sum of doubles below 10^18 (of whole ones below 10^28), each to ``digits`` decimals: the same in whatever order tasks end."""
+    return F.sum(terms.cast(f"decimal(28, {digits})")).cast("double")
+
+
 def _step(counts: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     """``state`` after one Newton step, from one sum over ``counts``; nothing in it but this sum reads the state, so that steps chain."""
     size, n = F.col("size").cast("double"), F.col("n").cast("double")
     r = rate(size)
     held = F.broadcast(state) if small else state
     sums = counts.withColumnRenamed("source", "s").join(held, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(
-        F.sum(n * size * r).alias("g"),
-        F.sum(n * size * size / F.col("scale") * r * (1 - r / MOST)).alias("h"),
+        exact_sum(n * size * r).alias("g"),
+        exact_sum(n * size * size / F.col("scale") * r * (1 - r / MOST)).alias("h"),
         *(F.max(c).alias(c) for c in ("source_size", "target", "scale", "tilt", "low", "high")),
     )
     inf = float("inf")
@@ -80,7 +85,7 @@ def solve(counts: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     TOGETHER steps are one job; after each, the state is written. RuntimeError if ``STEPS`` steps don't meet the targets.
     """
     size, n, inf = F.col("size").cast("double"), F.col("n").cast("double"), float("inf")
-    typical = counts.groupBy(F.col("source").alias("s")).agg((F.sum(n * size * size) / F.sum(n * size)).alias("scale"))
+    typical = counts.groupBy(F.col("source").alias("s")).agg((exact_sum(n * size * size, 0) / exact_sum(n * size, 0)).alias("scale"))
     state = state.join(typical, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     state = cut(state.select("source", "source_size", "target", F.coalesce("scale", F.lit(1.0)).alias("scale")))
     now = state.select("*", F.lit(0.0).alias("tilt"), F.lit(-inf).alias("low"), F.lit(inf).alias("high"))

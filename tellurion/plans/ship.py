@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,8 +13,14 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parents[2]
 
 
-def importable() -> bool:
-    """True if Python workers find the package by themselves: by PYTHONPATH, or as they start in its folder."""
+def importable(master: str) -> bool:
+    """True if Python workers find the package by themselves: by PYTHONPATH, or as they start in its folder.
+
+    That can be told only of workers on the driver's own machine, under the master ``local``; executors elsewhere have
+    folders and settings of their own.
+    """
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        return False
     places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     return any(p and Path(p).resolve() == ROOT for p in places) or "site-packages" in ROOT.parts
 
@@ -21,7 +28,7 @@ def importable() -> bool:
 def ship(spark: SparkSession) -> None:
     """Sends the package to the session's executors by Spark's own means, once, if they wouldn't find it."""
     sc = spark.sparkContext
-    if importable() or getattr(sc, "_tellurion_shipped", False):
+    if importable(sc.master) or getattr(sc, "_tellurion_shipped", False):
         return
     path = Path(tempfile.mkdtemp()) / "tellurion.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

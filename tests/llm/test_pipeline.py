@@ -1,8 +1,12 @@
 import json
 from collections import Counter
+from types import SimpleNamespace
+
+import pytest
 
 import corpus_pipeline
 from tellurion.llm import queries
+from tellurion.llm.common import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,3 +43,11 @@ def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert json.dumps(sorted(queries.ORACLE_SQL))
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    """No machine-local folder takes its place."""
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)

@@ -63,13 +63,14 @@ def guard(hits: DataFrame, members: DataFrame, by: str, block: int = BLOCK) -> D
 
 
 def uncovered(secrets: DataFrame, hits: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
-    """``secrets`` (by, start, end) that no hit (by, offset, len) overlaps: leaks."""
-    s = secrets.withColumn("__block", F.explode(_blocks(F.col("start"), F.col("end"), block)))
+    """``secrets`` (by, start, end) that no hit (by, offset, len) overlaps: leaks. Equal rows stay or go together; each input is read once."""
+    one = secrets.groupBy(*secrets.columns).agg(F.count("*").cast("int").alias("__n"))
+    s = one.withColumn("__block", F.explode_outer(_blocks(F.col("start"), F.col("end"), block)))
     h = hits.select(F.col(by).alias("__by"), F.col("offset").alias("__at"), (F.col("offset") + F.col("len")).alias("__to"))
     h = h.withColumn("__hit", F.explode(_blocks(F.col("__at"), F.col("__to"), block)))
     over = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__hit")) & (F.col("__at") < F.col("end")) & (F.col("__to") > F.col("start"))
-    touched = s.join(h, over, "left_semi").select(*secrets.columns).distinct()
-    return secrets.join(touched, [F.equal_null(secrets[c], touched[c]) for c in secrets.columns], "left_anti")
+    blocks = s.join(h, over, "left").groupBy(*secrets.columns).agg(F.first("__n").alias("__n"), F.count("__at").alias("__touched"))
+    return blocks.where("__touched = 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*secrets.columns)
 
 
 def merged(hits: DataFrame, by: str) -> DataFrame:

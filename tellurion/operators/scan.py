@@ -92,9 +92,9 @@ def count_hits(rows: DataFrame, column: str, rules: list[Rule], by: list[str] |
             for key, value in zip(keys, b.column("__value")):
                 data = value.as_py()
                 if data:
-                    for k, _, size in matcher.scan_bytes(data) if binary else matcher.scan_text(data):
+                    for k, n, size in ((k, 1, size) for k, _, size in matcher.scan_bytes(data)) if binary else matcher.count_text(data):
                         entry = counts.setdefault((*key, k), [0, 0])
-                        entry[0] += 1
+                        entry[0] += n
                         entry[1] += size
             if counts:
                 cols = {n: pa.array([key[i] for key in counts], b.column(n).type) for i, n in enumerate(names)}

@@ -56,13 +56,35 @@ class Matcher:
         plain = text.isascii()
         out = []
         for k in self.candidates(text):
+            seen = at = 0  # characters before the last hit, and their bytes
             for a, z in self._spans(k, text):
                 if plain:
                     out.append((k, a, z - a))
                 else:
-                    out.append((k, len(text[:a].encode()), len(text[a:z].encode())))
+                    at += len(text[seen:a].encode())
+                    seen = a
+                    out.append((k, at, len(text[a:z].encode())))
         return out
 
+    def count_text(self, text: str) -> list[tuple[int, int, int]]:
+        """(rule, hits, bytes of all its hits) of each rule that hits the text."""
+        out = []
+        for k in self.candidates(text):
+            found = self._found(k, text)
+            if found:
+                out.append((k, len(found), len("".join(found).encode())))
+        return out
+
+    def _found(self, k: int, text: str) -> list[str]:
+        """What a rule hits, in one call of the pattern where nothing else decides."""
+        rule = self.rules[k]
+        group = rule.capture_index or 0
+        if rule.min_entropy is None and rule.filter not in FILTERS and self.text[k].groups == group <= 1:
+            found = self.text[k].findall(text)
+            if not group or "" not in found:  # an empty text may be a group that took no part
+                return found
+        return [text[a:z] for a, z in self._spans(k, text)]
+
     def scan_bytes(self, data: bytes) -> list[tuple[int, int, int]]:
         """(rule, offset, length) of each hit in binary data."""
         return [(k, a, z - a) for k in self.candidates(data.decode("latin-1")) for a, z in self._spans(k, data)]

@@ -8,6 +8,7 @@ import re
 import tarfile
 import zipfile
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from ..operators.redact import RedactionError
@@ -108,13 +109,14 @@ class Archive:
 
     def apply(self, hits: Hits, kind: str = ZERO, pattern: bytes = b"") -> None:
         by_member: dict[int, Hits] = {}
+        filled = [m for m in self.members if m.span]
         for at, size in hits:
-            k = next((k for k, m in enumerate(self.members) if m.span and m.base <= at and at + size <= m.base + m.span), None)
-            if k is None:
+            k = bisect_right(filled, at, key=lambda m: m.base) - 1
+            if k < 0 or at + size > filled[k].base + filled[k].span:
                 raise RedactionError(f"archive: hit {at}..{at + size} lies in no member")
-            by_member.setdefault(k, []).append((at - self.members[k].base, size))
+            by_member.setdefault(k, []).append((at - filled[k].base, size))
         for k, own in by_member.items():
-            self.members[k].inner.apply(own, kind, pattern)
+            filled[k].inner.apply(own, kind, pattern)
 
     def to_bytes(self) -> bytes:
         """The archive packed anew: the same kind and compression, owner 0, modes and tar times kept, anything but folders as plain files."""

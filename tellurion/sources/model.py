@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from ..operators.redact import PATTERN, ZERO, RedactionError, apply_hits
 
@@ -55,8 +57,11 @@ class Flat:
 
     def apply(self, hits: Hits, kind: str = ZERO, pattern: bytes = b"") -> None:
         if self.guarded:
+            spans = sorted((a, z) for a, z, _ in self.spans)
+            starts, reach = [a for a, _ in spans], list(accumulate((z for _, z in spans), max))
             for at, size in hits:
-                if not any(a <= at and at + size <= z for a, z, _ in self.spans):
+                k = bisect_right(starts, at)
+                if not k or at + size > reach[k - 1]:
                     raise RedactionError(f"{self.name}: hit {at}..{at + size} lies outside of every body")
         self.data = apply_hits(self.data, hits, kind, pattern)
 

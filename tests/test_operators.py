@@ -145,6 +145,9 @@ def test_members_without_a_name(spark):
     assert intervals.guard(found.where("offset < 13 and (path is null or offset < 7)"), placed, "path").count() == 2
     secrets = spark.createDataFrame([(None, 13, 14), (None, 16, 18), ("a", 3, 4)], "path string, start long, end long")
     assert sorted((r.path or "", r.start) for r in intervals.uncovered(secrets, found, "path").collect()) == [("", 16), ("a", 3)]
+    twice = secrets.unionByName(secrets).unionByName(spark.createDataFrame([("a", None, None)], secrets.schema))
+    assert sorted((r.path or "", r.start or -1) for r in intervals.uncovered(twice, found, "path").collect()) == [("", 16), ("", 16), ("a", -1), ("a", 3), ("a", 3)]
+    assert intervals.uncovered(secrets, found.limit(0), "path").count() == 3 and intervals.uncovered(secrets.limit(0), found, "path").count() == 0
 
 
 def test_merged_intervals(spark):

@@ -124,3 +124,32 @@ def test_jwt_filter(spark):
 def test_jwt_rules_give_way(spark):
     both = curate.with_jwt(rules.rules_frame(spark, rules.curated() + SHAPED), rules.rules_frame(spark, [rules.jwt_rule()]))
     assert [r.source for r in both.where("rule_id like 'jwt%'").collect()] == ["code"]
+
+
+def test_counts_and_offsets_agree_with_a_slow_count():
+    """Beside groups that take no part, empty groups, floors and letters of several bytes."""
+    rules_ = [Rule("word", r"([a-z]{3,5})", 1), Rule("whole", r"[0-9]{2}"), Rule("maybe", r"x(y)?", 1), Rule("empty", r"q(z*)", 1), Rule("two", r"(a)(b)", 2), Rule("floor", r"[a-z]+9", None, 1.5)]
+    matcher = Matcher(rules_)
+    for text in ("", "straße 12 xy x qz q abab é99 aaa9 abc9 ſx", "plain 1234 xyx qqz ab9", "é" * 50 + " abc 12"):
+        slow: dict[int, list[int]] = {}
+        spans = []
+        for k, r in enumerate(rules_):
+            for m in re.finditer(r.pattern, text):
+                a, z = m.span(r.capture_index or 0)
+                if a >= 0 and (r.min_entropy is None or shannon(text[a:z].encode()) >= r.min_entropy):
+                    spans.append((k, len(text[:a].encode()), len(text[a:z].encode())))
+                    entry = slow.setdefault(k, [0, 0])
+                    entry[0] += 1
+                    entry[1] += spans[-1][2]
+        assert matcher.scan_text(text) == spans
+        assert matcher.count_text(text) == [(k, *v) for k, v in sorted(slow.items())]
+
+
+def test_offsets_of_long_texts_take_linear_time():
+    import time
+
+    text = "é abc " * 400_000
+    start = time.perf_counter()
+    found = Matcher([Rule("word", r"abc")]).scan_text(text)
+    assert len(found) == 400_000 and found[-1] == (0, 7 * 399_999 + 3, 3)
+    assert time.perf_counter() - start < 10
